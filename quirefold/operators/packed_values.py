@@ -15,11 +15,11 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.session import cut_lineage
@@ -27,7 +27,6 @@ from quirefold.session import cut_lineage
 #: Candidate delimiters outside quotation marks.
 DELIMITER = r"[,;/|&+、，；／｜＆\n\r\t]|(?<=\s)(?:and|AND)(?=\s)"
 _DELIMITER = re.compile(DELIMITER)
-_HAS_DELIMITER_JVM = r"[,;/|&+、，；／｜＆\n\r\t\[]|\s(and|AND)\s"
 _LIST = re.compile(r'^\s*\[\s*(".*")\s*\]\s*$', re.S)
 _QUOTED = re.compile(r'"(?:[^"\\]|""|\\.)*"', re.S)
 #: A value may contain at most this many delimiters itself; a span with more is split somewhere.
@@ -245,13 +244,3 @@ def explode_packed(df: DataFrame, keys: Sequence[str], fields: Sequence[str], ro
     rows = cells.join(parts, "raw").select(*names, "field_name", F.size("vals").alias("n_vals"), F.posexplode("vals").alias("p", "val"))
     return rows.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], "field_name", (F.col("p") + 1).alias("pos"), "n_vals", "val")
 
-
-def has_delimiter(column: Column) -> Column:
-    """Whether a raw field holds a candidate delimiter at all (JVM side)."""
-    return column.rlike(_HAS_DELIMITER_JVM)
-
-
-def iter_values(raws: Iterator[str]) -> Iterator[list[str]]:  # pragma: no cover - convenience for interactive use
-    """Values of fields split at every candidate delimiter, without a model."""
-    for raw in raws:
-        yield [v for a, b in pieces(raw) if (v := clean_value(raw[a:b]))]
