@@ -5,13 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirefold.llm.encodings import restore_fields
 from quirefold.llm.mixing import mix_sources
 from quirefold.llm.pieces import split_pages
+from quirefold.llm.sentences import split_sentences
 from quirefold.llm.tokenize import token_ids
 from quirefold.llm.tomes import pack_chapters
 from quirefold.session import table
 
 
+TEXT_FIELDS = ("series", "title", "summary")
+
+
+def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Garbled values with what could be restored of them."""
+    return restore_fields(table(spark, sf_dir, "comicinfo"), "info_id", TEXT_FIELDS)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Garbled values."""
+    return p2_restored(spark, sf_dir).select("info_id", "field_name")
+
+
 def p3_tomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chapter, or piece of one, with its tome."""
     return pack_chapters(table(spark, sf_dir, "encoded_pages"), table(spark, sf_dir, "profiles"))
@@ -47,7 +62,19 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
 
+def p9_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence of every document."""
+    return split_sentences(table(spark, sf_dir, "documents"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the sentences end."""
+    return p9_sentences(spark, sf_dir).select("doc_id", "end_pos")
+
+
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_restored": p2_restored,
     "p3_found": p3_found,
     "p3_tomes": p3_tomes,
     "p4_found": p4_found,
@@ -55,6 +82,8 @@ QUERIES = {
     "p7_ids": p7_ids,
     "p8_mixture": p8_mixture,
     "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_sentences": p9_sentences,
 }
 
 _P3_FOUND = """
