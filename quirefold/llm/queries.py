@@ -5,15 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirefold.llm.canonical import canonical_fields
 from quirefold.llm.encodings import restore_fields
 from quirefold.llm.mixing import mix_sources
+from quirefold.llm.names import link_names, linked_pairs
 from quirefold.llm.pieces import split_pages
 from quirefold.llm.sentences import split_sentences
 from quirefold.llm.tokenize import token_ids
 from quirefold.llm.tomes import pack_chapters
+from quirefold.operators.packed_values import explode_packed
 from quirefold.session import table
 
 
+def p1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every spelling with the person or studio it denotes."""
+    credits = explode_packed(table(spark, sf_dir, "comicinfo"), ["info_id"], ("writers", "pencillers")).select("val")
+    authors = table(spark, sf_dir, "book_meta").select(F.explode("authors").alias("val")).where("val <> 'cb'")
+    return link_names(credits.unionByName(authors), "val")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of spellings that denote the same person or studio."""
+    return linked_pairs(p1_entities(spark, sf_dir))
+
+
 TEXT_FIELDS = ("series", "title", "summary")
 
 
@@ -47,6 +62,20 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_pieces(spark, sf_dir).where("n_pieces > 1").groupBy("page_id").agg(F.max(F.col("forced").cast("int")).alias("forced"))
 
 
+def p5_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every series, title and entry name in its consistent form."""
+    comics = canonical_fields(table(spark, sf_dir, "comicinfo"), "info_id", ("series", "title")).withColumnRenamed("info_id", "row_id")
+    names = canonical_fields(table(spark, sf_dir, "entries"), "entry_id", ("name",)).withColumnRenamed("entry_id", "row_id")
+    return comics.unionByName(names)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that the consistent form changes, without the garbled ones."""
+    garbled = p2_found(spark, sf_dir).select("field_name", F.col("info_id").alias("row_id"))
+    changed = p5_canonical(spark, sf_dir).where("changed").select("field_name", "row_id").distinct()
+    return changed.join(garbled, ["field_name", "row_id"], "left_anti")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return table(spark, sf_dir, "documents").select("doc_id", token_ids(F.col("text")).alias("ids"))
@@ -73,12 +102,16 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_entities": p1_entities,
     "p2_found": p2_found,
     "p2_restored": p2_restored,
     "p3_found": p3_found,
     "p3_tomes": p3_tomes,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p5_found": p5_found,
+    "p5_canonical": p5_canonical,
     "p7_ids": p7_ids,
     "p8_mixture": p8_mixture,
     "p8_shares": p8_shares,
