@@ -13,10 +13,11 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirefold.operators.folds import map_groups
+
 #: Chapters that one task packs together, and pages of one chapter that one task divides together.
 GROUP_ITEMS, GROUP_PAGES = 20_000, 20_000
 TIERS = 6
@@ -102,25 +103,12 @@ def pack_chapters(encoded_pages: DataFrame, profiles: DataFrame, group_items: in
     loose = pages.join(large, same).select("book_id", "chapter", "whole_profile", "capacity", "page_ord", "sub_ord", "enc_id", "n_bytes", "n_pages")
     block = F.when(F.col("n_pages") > group_pages, F.floor(F.coalesce("page_ord", F.lit(0)) / (group_pages // 4))).otherwise(F.lit(0)).cast("long")
 
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["page_ord", "sub_ord", "enc_id"], na_position="first")
-        runs = divide([int(w) for w in pdf["n_bytes"]], int(pdf["capacity"].iloc[0]))
-        first = pdf.iloc[[a for a, _, _ in runs]]
-        return pd.DataFrame(
-            {
-                "book_id": first["book_id"].values,
-                "chapter": first["chapter"].values,
-                "profile": first["whole_profile"].values,
-                "block": first["block"].values,
-                "at": range(len(runs)),
-                "first_page": first["page_ord"].values,
-                "last_page": pdf["page_ord"].iloc[[b - 1 for _, b, _ in runs]].values,
-                "weight": [w for _, _, w in runs],
-                "capacity": first["capacity"].values,
-            }
-        )
-
-    runs = loose.withColumn("block", block).groupBy("book_id", "chapter", "block").applyInPandas(cut, "book_id string, chapter string, profile string, block long, at int, first_page int, last_page int, weight long, capacity long")
+    def cut(rows: list[tuple]) -> list[tuple]:
+        book, chapter, profile, capacity, part = rows[0][0], rows[0][1], rows[0][2], rows[0][3], rows[0][9]
+        runs = divide([row[7] for row in rows], capacity)
+        return [(book, chapter, profile, part, k, rows[a][4], rows[b - 1][4], load, capacity) for k, (a, b, load) in enumerate(runs)]
+
+    runs = map_groups(loose.withColumn("block", block), ["book_id", "chapter", "block"], ["page_ord", "sub_ord", "enc_id"], cut, "book_id string, chapter string, profile string, block long, at int, first_page int, last_page int, weight long, capacity long")
     by = Window.partitionBy("book_id", "chapter")
     divided = runs.select(
         "book_id", "chapter", "profile", F.row_number().over(by.orderBy("block", "at")).alias("piece"), F.count(F.lit(1)).over(by).cast("int").alias("n_pieces"), "first_page", "last_page", "weight", F.lit(True).alias("divided"), "capacity"
@@ -131,26 +119,21 @@ def pack_chapters(encoded_pages: DataFrame, profiles: DataFrame, group_items: in
     salted = items.join(per_book.withColumnRenamed("book_id", "counted"), F.col("book_id").eqNullSafe(F.col("counted"))).drop("counted")
     salt = F.pmod(F.xxhash64("chapter", "piece"), F.ceil(F.col("n_items") / group_items)).cast("int")
 
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+    weigh, split, room = (items.columns.index(c) for c in ("weight", "divided", "capacity"))
+
+    def fill(rows: list[tuple]) -> list[tuple]:
         # A book has one profile; where it has several, tomes of each are kept apart.
-        parts, base = [], 0
-        for capacity, part in pdf.groupby("capacity", sort=True):
-            part = part.sort_values(["weight", "chapter", "piece"], ascending=[False, True, True], na_position="first").reset_index(drop=True)
-            keys = [f"{k:012d}" for k in range(len(part))]
-            weights = [int(w) for w in part["weight"]]
-            tomes = pack(list(zip(weights, keys)), int(capacity))
-            groups = deal([sum(weights[int(k)] for k in tome) for tome in tomes])
-            tome_of, step_of = [0] * len(part), [0] * len(part)
+        out, base = [], rows[0][10] * (group_items + 1)
+        for capacity in sorted({row[room] for row in rows}):
+            part = [row for row in rows if row[room] == capacity]
+            tomes = pack([(row[weigh], f"{k:012d}") for k, row in enumerate(part)], capacity)
+            groups = deal([sum(part[int(k)][weigh] for k in tome) for tome in tomes])
             for t, tome in enumerate(tomes):
-                for k in tome:
-                    tome_of[int(k)], step_of[int(k)] = base + t + 1, groups[t] + 1
-            part["tier"] = [0 if d else tier_of(w, int(capacity)) for w, d in zip(weights, part["divided"])]
-            part["tome"], part["step_group"] = tome_of, step_of
+                for row in (part[int(k)] for k in tome):
+                    tier = 0 if row[split] else tier_of(row[weigh], capacity)
+                    out.append((*row[:7], row[weigh], tier, base + t + 1, groups[t] + 1, capacity))
             base += len(tomes)
-            parts.append(part)
-        out = pd.concat(parts)
-        out["tome"] = out["tome"] + out["salt"].astype("int64") * (group_items + 1)
-        return out[["book_id", "chapter", "profile", "piece", "n_pieces", "first_page", "last_page", "weight", "tier", "tome", "step_group", "capacity"]]
-
-    return salted.withColumn("salt", salt).groupBy("book_id", "salt").applyInPandas(fill, PACKED)
+        return out
 
+    placed = salted.select(*items.columns, salt.alias("salt"))
+    return map_groups(placed, ["book_id", "salt"], ["weight", "chapter", "piece"], fill, PACKED)
