@@ -8,7 +8,8 @@ the likeliest split of each field.  Quoted spans are atomic, and a bracketed lis
 is read as such.
 
 Values without a candidate delimiter never enter the lattice.  The work runs on distinct raw
-values with their counts, so a value that fills a third of the table costs one lattice.
+values, each counted once, so a value that fills a third of the table costs one lattice and its own
+repetition is no evidence for how it splits.
 """
 
 from __future__ import annotations
@@ -33,7 +34,9 @@ _QUOTED = re.compile(r'"(?:[^"\\]|""|\\.)*"', re.S)
 MAX_INNER = 2
 #: The shapes of values are counted in so many hashed classes: the table sent to the tasks has this size.
 SHAPES = 4096
-#: Chance of one more character in an unseen value.
+#: Prior count of a shape without and with a delimiter inside; the latter have the odd slots.
+_PLAIN, _INNER = 0.001, 1e-12
+#: Chance of one more letter or digit in an unseen value.
 _PER_CHAR = math.log(1 / 20)
 _ARC = "array<struct<start:int,stop:int,val:string,shape:int>>"
 
@@ -47,7 +50,7 @@ def clean_value(piece: str) -> str:
 
 
 def _shape_text(piece: str) -> str:
-    """Word classes of a value: initial, abbreviation, word, with its inner delimiters kept."""
+    """Word classes of a value: initial, abbreviation, hyphened, dotted, word, with its inner delimiters kept."""
     out = []
     for token in re.findall(rf"{DELIMITER}|[^\s,;/|&+、，；／｜＆]+", piece.strip().strip('"')):
         if _DELIMITER.fullmatch(token) or token in ("and", "AND"):
@@ -56,17 +59,21 @@ def _shape_text(piece: str) -> str:
             out.append("i")
         elif token.endswith("."):
             out.append("a")
+        elif "-" in token:
+            out.append("h")
+        elif "." in token:
+            out.append("d")
         elif not out or out[-1] != "W":
             out.append("W" if out and out[-1] == "w" else "w")
     return "".join(out[:12])
 
 
 def shape_of(piece: str) -> int:
-    """The hashed shape class of a value, stable across processes."""
-    h = 2166136261
-    for ch in _shape_text(piece):
+    """The hashed shape class of a value, stable across processes; odd if it has a delimiter inside."""
+    h, text = 2166136261, _shape_text(piece)
+    for ch in text:
         h = ((h ^ ord(ch)) * 16777619) & 0xFFFFFFFF
-    return h % SHAPES
+    return h % (SHAPES // 2) * 2 + any(ch not in "iahdwW" for ch in text)
 
 
 def pieces(raw: str) -> list[tuple[int, int]]:
@@ -112,7 +119,7 @@ def _log_probability(value: str, shape: int, count: float, total: float, shapes:
     """Interpolates the learned frequency of a value with that of its shape."""
     if not value:
         return 0.0
-    unseen = shapes[shape] * math.exp(max(-600.0, _PER_CHAR * len(value)))
+    unseen = shapes[shape] * math.exp(max(-600.0, _PER_CHAR * sum(map(str.isalnum, value))))
     return math.log((count + unseen) / (total + 1.0) + 1e-300)
 
 
@@ -156,11 +163,12 @@ def viterbi(arcs: Sequence, total: float, shapes: np.ndarray) -> list[str]:
 
 
 def _shape_counts(values: DataFrame) -> np.ndarray:
-    """Smoothed share of each shape class; the collected table has at most ``SHAPES`` rows."""
-    counts = np.full(SHAPES, 1e-6)
+    """Smoothed count of each shape class; the collected table has at most ``SHAPES`` rows."""
+    counts = np.full(SHAPES, _PLAIN)
+    counts[1::2] = _INNER
     for row in values.groupBy("shape").agg(F.sum("n").alias("n")).collect():
         counts[row["shape"]] += row["n"]
-    return counts / counts.sum() * max(1.0, counts.sum())
+    return counts
 
 
 def split_packed(values: DataFrame, raw: str, rounds: int = 2, max_inner: int = MAX_INNER) -> DataFrame:
@@ -172,7 +180,7 @@ def split_packed(values: DataFrame, raw: str, rounds: int = 2, max_inner: int =
     Returns (raw, vals), one row per distinct raw value.
     """
     blank = F.col("raw").isNull() | (F.regexp_replace("raw", r"[\s\p{Z}]+", "") == "")
-    distinct = values.select(F.col(raw).cast("string").alias("raw")).where(~blank).groupBy("raw").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    distinct = values.select(F.col(raw).cast("string").alias("raw")).where(~blank).distinct().withColumn("n", F.lit(1.0))
 
     @F.pandas_udf(_ARC)
     def arcs_of(raws: pd.Series) -> pd.Series:
@@ -191,10 +199,11 @@ def split_packed(values: DataFrame, raw: str, rounds: int = 2, max_inner: int =
     shapes = first_shapes
     for _ in range(rounds):
         expected = cut_lineage(_expectation(arcs, learned, total, shapes))
-        both = known.select("val", "shape", "n").unionByName(expected)
-        shapes = _shape_counts(both)
+        shapes = _shape_counts(known.select("shape", "n").unionByName(expected.select("shape", F.col("m").alias("n"))))
         total = float(shapes.sum())
-        learned = both.groupBy("val").agg(F.sum("n").alias("count"))
+        # What one field alone suggests is no evidence for it: one count of each value is taken back.
+        others = expected.groupBy("val").agg(F.sum("n").alias("n")).select("val", (F.col("n") - 1.0).alias("n")).where("n > 0")
+        learned = known.select("val", "n").unionByName(others).groupBy("val").agg(F.sum("n").alias("count"))
 
     best = _segment(arcs, learned, total, shapes)
     plain = sure.select("raw", F.filter(F.transform("arcs", lambda a: a["val"]), lambda v: v != "").alias("vals"))
@@ -208,15 +217,26 @@ def _weighed(arcs: DataFrame, learned: DataFrame) -> DataFrame:
 
 
 def _expectation(arcs: DataFrame, learned: DataFrame, total: float, shapes: np.ndarray) -> DataFrame:
-    """Expected counts of the values under the present model, summed over all fields."""
+    """Expected counts under the present model, summed over all fields: of values (n) and of shapes (m).
 
-    @F.pandas_udf("array<double>")
+    A field is evidence for a shape once, by its most certain value of that shape.
+    """
+
+    @F.pandas_udf("array<struct<n:double,m:double>>")
     def chances(lattices: pd.Series) -> pd.Series:
-        return lattices.map(lambda a: posterior(a, total, shapes))
+        def both(lattice) -> list[dict]:
+            n = posterior(lattice, total, shapes)
+            best: dict[int, int] = {}
+            for k, arc in enumerate(lattice):
+                if n[k] > n[best.setdefault(arc["shape"], k)]:
+                    best[arc["shape"]] = k
+            return [{"n": x, "m": x if best[arc["shape"]] == k else 0.0} for k, (x, arc) in enumerate(zip(n, lattice))]
+
+        return lattices.map(both)
 
     zipped = F.explode(F.arrays_zip(F.col("arcs"), chances("arcs").alias("chance"))).alias("z")
-    flat = _weighed(arcs, learned).select("n", zipped).select((F.col("n") * F.col("z.chance")).alias("n"), F.col("z.arcs.val").alias("val"), F.col("z.arcs.shape").alias("shape"))
-    return flat.where("val <> '' and n > 1e-9").groupBy("val", "shape").agg(F.sum("n").alias("n"))
+    flat = _weighed(arcs, learned).select(zipped).select("z.chance.n", "z.chance.m", F.col("z.arcs.val").alias("val"), F.col("z.arcs.shape").alias("shape"))
+    return flat.where("val <> '' and n > 1e-9").groupBy("val", "shape").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
 def _segment(arcs: DataFrame, learned: DataFrame, total: float, shapes: np.ndarray) -> DataFrame:
