@@ -284,7 +284,8 @@ def sentence_ends_column(text: Column, source: Column) -> Column:
     def ends(texts: pd.Series, sources: pd.Series) -> pd.Series:
         return pd.Series([sentence_ends(t, s) for t, s in zip(texts, sources)], dtype=object)
 
-    return ends(text, source)
+    # Not to be evaluated a second time for a filter on the array's size.
+    return ends.asNondeterministic()(text, source)
 
 
 def split_sentences(documents: DataFrame) -> DataFrame:
