@@ -19,7 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.session import cut_lineage
@@ -359,8 +359,6 @@ def restore_fields(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
 
 def _mender(model: PairModel):
     """The restoring function of a model, which is broadcast: two tables of fixed size."""
-    from pyspark.sql import SparkSession
-
     shared = SparkSession.active().sparkContext.broadcast((model.pairs, model.singles))
 
     @F.pandas_udf("struct<restored:string,garbled:boolean>")
@@ -368,7 +366,8 @@ def _mender(model: PairModel):
         model = _shared_model(shared)
         return pd.DataFrame([restore(t, model) for t in texts], columns=["restored", "garbled"])
 
-    return mend
+    # Not to be evaluated a second time for a filter on its result.
+    return mend.asNondeterministic()
 
 
 _MODELS: dict[int, PairModel] = {}
