@@ -16,15 +16,20 @@ def _d(c: Column) -> Column:
     return c.cast("double")
 
 
+def _n(c: Column) -> Column:
+    """A divisor: null instead of 0, so that a page without extent has null sizes and fails no job."""
+    return F.nullif(_d(c), F.lit(0.0))
+
+
 def _size(width: Column, height: Column) -> Column:
     return F.struct(width.cast("long").alias("width"), height.cast("long").alias("height"))
 
 
 def contain_size(w: Column, h: Column, W: Column, H: Column) -> Column:
     """Largest size of the same shape inside W x H, rounded half away from zero, at least 1."""
-    tall = F.greatest(F.round(_d(h) / _d(w) * _d(W)), F.lit(1.0))
-    wide = F.greatest(F.round(_d(w) / _d(h) * _d(H)), F.lit(1.0))
-    image, frame = _d(w) / _d(h), _d(W) / _d(H)
+    tall = F.greatest(F.round(_d(h) / _n(w) * _d(W)), F.lit(1.0))
+    wide = F.greatest(F.round(_d(w) / _n(h) * _d(H)), F.lit(1.0))
+    image, frame = _d(w) / _n(h), _d(W) / _n(H)
     return F.when(image > frame, _size(W, tall)).when(image < frame, _size(wide, H)).otherwise(_size(W, H))
 
 
@@ -35,7 +40,7 @@ def thumbnail_size(w: Column, h: Column, W: Column, H: Column) -> Column:
 
 def fit_box(w: Column, h: Column, W: Column, H: Column) -> Column:
     """Middle crop (left, top, width, height) that has the shape of W x H."""
-    image, frame = _d(w) / _d(h), _d(W) / _d(H)
+    image, frame = _d(w) / _n(h), _d(W) / _n(H)
     high = F.greatest(F.round(_d(w) / frame), F.lit(1.0)).cast("long")
     wide = F.greatest(F.round(_d(h) * frame), F.lit(1.0)).cast("long")
 
@@ -55,14 +60,14 @@ def pad_offset(w: Column, W: Column) -> Column:
 
 def limit_pixels(w: Column, h: Column, limit: int) -> Column:
     """Size of the same shape with at most about ``limit`` pixels; unchanged if it has no more."""
-    scale = F.sqrt(F.lit(float(limit)) / (w.cast("long") * h.cast("long")).cast("double"))
+    scale = F.sqrt(F.lit(float(limit)) / _n(w.cast("long") * h.cast("long")))
     small = _size(F.greatest(F.round(_d(w) * scale), F.lit(1.0)), F.greatest(F.round(_d(h) * scale), F.lit(1.0)))
     return F.when(w.cast("long") * h.cast("long") <= limit, _size(w, h)).otherwise(small)
 
 
 def limit_width(w: Column, h: Column, limit: int) -> Column:
     """Size of the same shape at most ``limit`` wide."""
-    return F.when(w <= limit, _size(w, h)).otherwise(_size(F.lit(limit), F.greatest(F.round(_d(h) * (F.lit(float(limit)) / _d(w))), F.lit(1.0))))
+    return F.when(w <= limit, _size(w, h)).otherwise(_size(F.lit(limit), F.greatest(F.round(_d(h) * (F.lit(float(limit)) / _n(w))), F.lit(1.0))))
 
 
 def resize_plan(w: Column, h: Column, W: Column, H: Column, near: float = 0.015, stretch: bool = False, upscale: bool = False, pads: bool = False) -> Column:
@@ -74,7 +79,7 @@ def resize_plan(w: Column, h: Column, W: Column, H: Column, near: float = 0.015,
     whole = _size(W, H)
     if stretch:
         return plan("stretch", whole)
-    alike = F.abs(_d(h) / _d(w) - _d(H) / _d(W)) < near
+    alike = F.abs(_d(h) / _n(w) - _d(H) / _n(W)) < near
     rest = plan("pad", whole) if pads else plan("contain", contain_size(w, h, W, H))
     out = F.when(alike, plan("fit", whole)).otherwise(rest)
     return out if upscale else F.when((w <= W) & (h <= H), plan("keep", _size(w, h))).otherwise(out)
@@ -82,7 +87,7 @@ def resize_plan(w: Column, h: Column, W: Column, H: Column, near: float = 0.015,
 
 def cover_box(w: Column, h: Column, right_to_left: bool = True) -> Column:
     """Left and right edge of the front of a wrap-around cover, rounded half to even; null if it has none."""
-    ratio = _d(w) / _d(h)
+    ratio = _d(w) / _n(h)
     out = F.lit(None).cast("struct<left:bigint,right:bigint>")
     for above, left, right in reversed(COVER_BANDS):
         a, b = (left, right) if right_to_left else (1 - right, 1 - left)
@@ -104,7 +109,7 @@ def spread_parts(w: Column, h: Column, W: Column, H: Column, splitter: str = "sp
     half = F.floor(w / 2)
     halves = [part("b", half, h), part("c", half, h)]
     turned = part("a" if right_to_left else "d", h, w)
-    ratio, across = _d(w) / _d(h), (w > h) != (W > H)
+    ratio, across = _d(w) / _n(h), (w > h) != (W > H)
     wide = across & (ratio > SPLIT_RATIO)
     whole = F.array(part("x", w, h))
     if splitter == "split":
@@ -183,7 +188,7 @@ def kept_span(start: Column, end: Column, keep: float = 0.04) -> Column:
 
 def view_height(strip: Column, W: Column, H: Column, widest: int = 1072) -> Column:
     """Rows of a strip that fill a frame, with the strip's width at most ``widest`` (truncated)."""
-    base = F.when(W > widest, _d(H) / widest).otherwise(_d(H) / _d(W))
+    base = F.when(W > widest, _d(H) / widest).otherwise(_d(H) / _n(W))
     return (base * F.least(F.lit(widest), W, strip)).cast("long")
 
 

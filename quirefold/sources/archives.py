@@ -89,7 +89,7 @@ def scan_containers(files: DataFrame, bodies: bool = True, strict: bool = False)
 
 
 def read_archives(spark: SparkSession, path: str, bodies: bool = True, strict: bool = False) -> DataFrame:
-    """Entries of all containers under a path or glob."""
+    """Entries of all containers under a path or glob; the file scan passes empty files over."""
     return scan_containers(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content"), bodies, strict)
 
 

@@ -38,7 +38,7 @@ def test_delimiters_and_quotes(spark):
 
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, "  \u00a0"), (4, ","), (5, '"'), (6, 'a "b'), (7, '""'), (None, "X Y, Z W"), (8, "A B"), (8, "A B"), (9, ", ".join(f"N{k} M{k}" for k in range(3000)))]
-    got = split(spark, [(i, v, None, None, None) for i, v in rows])
+    got = split(spark, [(i, v, None, None, None) for i, v in corpus() + rows])
     assert not any((i, "writers") in got for i in (1, 2, 3, 4, 7))
     assert got[5, "writers"] == [(1, '"')] and got[6, "writers"] == [(1, 'a "b')]
     assert got[8, "writers"] == [(1, "A B")] and len(got[9, "writers"]) == 3000
