@@ -98,7 +98,7 @@ def p9_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the sentences end."""
-    return p9_sentences(spark, sf_dir).select("doc_id", "end_pos")
+    return p9_sentences(spark, sf_dir).select("doc_id", "end_pos").distinct()
 
 
 QUERIES = {

@@ -10,6 +10,7 @@ counterparts for texts typed all in capitals or all in small letters.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -27,6 +28,7 @@ CLOSES = {"“": "”", "„": "“”\"", "«": "»", "(": ")", "[": "]", "「"
 _BRACKETS = "([（【"
 _CLOSERS = "”“»\")]」』）】〉》’'"
 _STRONG = "!?。！？।॥։።፧؟‽"
+_MARK = regex.compile(rf"[.{_STRONG}…;\u037e]+")
 _CANDIDATE = regex.compile(rf"[.{_STRONG}…;;]+(?:\s?[»]|[{regex.escape(_CLOSERS)}])*")
 # Abbreviations and words that the rules below name.
 _TITLES = "dr|mr|mrs|ms|prof|capt|st|sra|sr|srta|mme|mlle|m|hr|fr|д-р|г|κ|кн|डॉ|श्री|د|أ|σ|dra|pani|inż"
@@ -133,20 +135,20 @@ _SCRIPTS = [
 def _compiled(script: str, case: str):
     out = []
 
-    def compiled(pattern: str):
+    def compiled(pattern: str, extra: int = 0):
         # Word lists are spelt small but may stand in any case; only rules about case itself mind it.
         minds = case == "normal" and regex.search(r"\\p\{L[ul]", pattern)
-        return regex.compile(pattern, 0 if minds else regex.IGNORECASE)
+        return regex.compile(pattern, (0 if minds else regex.IGNORECASE) | extra)
 
     for rule in [*(_COMMON if script not in ("Han", "Ethiopic") else []), *_TABLES[script]]:
         if case in rule.case.split():
-            before = compiled(f"^(?:{rule.before})$" if rule.start else f"(?:{rule.before})$") if rule.before else None
+            # What stands before is read backwards from the place.
+            before = (compiled(f"^(?:{rule.before})$") if rule.start else compiled(f"(?:{rule.before})$", regex.REVERSE)) if rule.before else None
             out.append((rule.cut, before, compiled(rule.after) if rule.after else None, rule.start))
     return out
 
 
 _SCRIPT_COUNTS = [(name, regex.compile(pattern)) for name, pattern in _SCRIPTS]
-_UPPER, _LOWER = regex.compile(r"\p{Lu}"), regex.compile(r"\p{Ll}")
 _THAI_BREAK = regex.compile(r"(?<=[\p{Thai}”\"»])\s+(?=\p{Thai}|\p{L})|(?<=เต็ม \d+|เต็ม \d+[.]\d+)\s+(?=\p{L})|(?<=[!?])\s+(?=\S)")
 #: A speaker or another label that opens a sentence.
 _LABEL = regex.compile(r"^\s*[^.:!?。！？]{1,40}[:：]\s*$")
@@ -155,6 +157,8 @@ _ENDS = regex.compile(rf"(?:[.{_STRONG}…;:])[{regex.escape(_CLOSERS)}\s]*$")
 
 def script_of(text: str) -> str:
     """The script most letters of a text have."""
+    if text.isascii():
+        return "Cased"
     counts = [(len(pattern.findall(text)), -k) for k, (_, pattern) in enumerate(_SCRIPT_COUNTS)]
     most, k = max(counts)
     name = _SCRIPT_COUNTS[-k][0] if most else "Cased"
@@ -167,7 +171,7 @@ def script_of(text: str) -> str:
 
 def case_of(text: str) -> str:
     """normal, caps (hardly a small letter) or small (no capital)."""
-    upper, lower = len(_UPPER.findall(text)), len(_LOWER.findall(text))
+    upper, lower = sum(map(str.isupper, text)), sum(map(str.islower, text))
     if upper + lower < 12:
         return ""
     if upper >= 9 * lower:
@@ -187,64 +191,73 @@ def is_wrapped(text: str, source: str | None) -> bool:
     return broken >= 1
 
 
-def _closed(text: str) -> tuple[list[int], dict[int, int]]:
-    """Nesting depth after each character, and the opening place of each closing one; unpaired marks count as none."""
+_MARKS = regex.compile("[" + regex.escape("".join({*CLOSES, *"".join(CLOSES.values())})) + "]")
+
+
+def _closed(text: str) -> tuple[list[int], list[int], dict[int, int]]:
+    """Places where the nesting depth changes and the depth from there on, and the opening place of each closing mark.
+
+    Unpaired marks count as none.
+    """
     stack: list[tuple[str, int]] = []
     pairs: dict[int, int] = {}
-    for i, ch in enumerate(text):
-        inside = stack and ch in CLOSES[stack[-1][0]]
-        if inside:
+    for m in _MARKS.finditer(text):
+        ch, i = m.group(), m.start()
+        if stack and ch in CLOSES[stack[-1][0]]:
             pairs[i] = stack.pop()[1]
             continue
-        deeper = next((k for k in range(len(stack) - 1, -1, -1) if ch in CLOSES[stack[k][0]]), None) if ch in _CLOSERS else None
+        deeper = next((k for k in range(len(stack) - 1, max(-1, len(stack) - 9), -1) if ch in CLOSES[stack[k][0]]), None) if ch in _CLOSERS else None
         if deeper is not None and ch != '"':
             pairs[i] = stack[deeper][1]
             del stack[deeper:]
-        elif ch in CLOSES:
-            if ch == '"' and i and text[i - 1].isalnum():
-                continue
+        elif ch in CLOSES and not (ch == '"' and i and text[i - 1].isalnum()):
             stack.append((ch, i))
-    depth, level = [0] * len(text), 0
-    opens = set(pairs.values())
-    for i in range(len(text)):
-        level += i in opens
-        level -= i in pairs
-        depth[i] = level
-    return depth, pairs
+    places, depths, level = [], [], 0
+    for i, step in sorted([(o, 1) for o in pairs.values()] + [(c, -1) for c in pairs]):
+        level += step
+        places.append(i)
+        depths.append(level)
+    return places, depths, pairs
 
 
 def _cuts(text: str, script: str, case: str) -> Iterator[int]:
     """Places inside a segment where a sentence ends."""
-    depth, pairs = _closed(text)
+    places, depths, pairs = _closed(text)
+
+    def depth(i: int) -> int:
+        k = bisect_right(places, i) - 1
+        return depths[k] if k >= 0 else 0
+
     if script == "Thai":
         for m in _THAI_BREAK.finditer(text):
-            if depth[m.start() - 1] == 0:
+            if depth(m.start() - 1) == 0:
                 yield m.start()
         return
     rules = _compiled(script, case)
-    start = 0
+    start, last = 0, len(text.rstrip()) - 1
     for m in _CANDIDATE.finditer(text):
         end = m.end()
         while end > m.start() and text[end - 1] in "’'" and not (end < len(text) and text[end : end + 1].isspace()):
             end -= 1
-        mark = regex.match(rf"[.{_STRONG}…;;]+", m.group())
+        mark = _MARK.match(m.group())
         # Closers that open something (a straight mark, a German one) belong to what follows.
         while end > m.start() + len(mark.group()) and (end - 1) not in pairs and text[end - 1] in "”“»\")]」』）】〉》":
             end -= 1
-        if end <= m.start() or end >= len(text) or depth[end - 1] > 0:
+        if end <= m.start() or end >= len(text) or depth(end - 1) > 0:
             continue
         if set(mark.group()) <= {";", ";"} and not regex.search(r"\p{Greek}[»”]?$", text[max(0, m.start() - 2) : m.start()]):
             continue
         closer = end - 1
-        if closer in pairs and text[pairs[closer]] in _BRACKETS and _LABEL.sub("", text[start : pairs[closer]]).strip():
-            if regex.match(r"[.!?。！？]", mark.group()) and pairs[closer] < m.start():
+        if closer in pairs and text[pairs[closer]] in _BRACKETS and pairs[closer] < m.start() and mark.group()[0] in ".!?。！？":
+            opened = text[start : min(pairs[closer], start + 60)]
+            if pairs[closer] - start > 60 or _LABEL.sub("", opened).strip():
                 continue  # a bracket inside a sentence
-        before, after = text[start:end], text[end:]
-        if not after.strip():
-            continue
-        tail, head = before[-60:], after[:120]
+        if end > last:
+            return
+        # Rules look at bounded surroundings, so a text costs time in proportion to its length.
+        tail, head = text[max(start, end - 60) : end], text[end : end + 120]
         for cut, ahead, behind, whole in rules:
-            if ahead is not None and not ahead.search(before if whole else tail):
+            if ahead is not None and (not ahead.match(tail) if not whole else end - start > 60 or not ahead.match(tail)):
                 continue
             if behind is not None and not behind.match(head):
                 continue
@@ -254,12 +267,15 @@ def _cuts(text: str, script: str, case: str) -> Iterator[int]:
             break
 
 
+_BLANK_LINE, _LINE_END = regex.compile(r"(?:\r\n?|\n)[^\S\r\n]*(?:\r\n?|\n)\s*"), regex.compile(r"[\r\n\u2028\u2029]+")
+
+
 def sentence_ends(text: str | None, source: str | None = None) -> list[int]:
     """Code points up to and including the last character, not white space, of each sentence; none for null and blank texts."""
     if text is None or not text.strip():
         return []
     wrapped = is_wrapped(text, source)
-    border = regex.compile(r"(?:\r\n?|\n)[^\S\r\n]*(?:\r\n?|\n)\s*" if wrapped else r"[\r\n  ]+")
+    border = _BLANK_LINE if wrapped else _LINE_END
     document_case = case_of(text) or "normal"
     ends: list[int] = []
     at = 0
@@ -292,12 +308,11 @@ def split_sentences(documents: DataFrame) -> DataFrame:
     """One row per sentence: doc_id, sentence (from 1), start_pos, end_pos, sentence_text.
 
     Null, empty and blank texts give no rows.  Positions count code points from 1; end_pos is that of
-    the last character that is not white space.  Equal doc_ids are kept apart only if their texts
-    differ.  A null source leaves it to the text whether its lines are wrapped; other columns are
+    the last character that is not white space.  A row that stands twice gives its sentences twice: ids
+    are unique, and no text is shuffled to make sure.  A null source leaves it to the text whether its lines are wrapped; other columns are
     ignored, whatever their names.
     """
-    once = documents.select("doc_id", "text", "source").where(F.col("text").isNotNull()).distinct()
-    marked = once.withColumn("ends", sentence_ends_column(F.col("text"), F.col("source")))
+    marked = documents.select("doc_id", "text", "source").where(F.col("text").isNotNull()).withColumn("ends", sentence_ends_column(F.col("text"), F.col("source")))
     rows = marked.select("doc_id", "text", F.posexplode("ends").alias("k", "end_pos"), F.col("ends"))
     begun = rows.withColumn("prior", F.when(F.col("k") == 0, F.lit(0)).otherwise(F.element_at("ends", F.col("k"))))
     piece = F.col("text").substr(F.col("prior") + 1, F.col("end_pos") - F.col("prior"))
