@@ -9,6 +9,7 @@ a text is kept as it is and the canonical segments are spliced in.
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from collections.abc import Sequence
 from functools import lru_cache
 
@@ -119,28 +120,33 @@ def _one_script(text: str) -> str:
         return text
     words = list(_WORD.finditer(text))
     kinds = [_kind(m.group()) for m in words]
+    total = Counter(kinds)
+    # Words of a kind that have a letter no other script shows.
+    own = Counter(kind for m, kind in zip(words, kinds) if kind in _LOOKS and not _is_look_alike(m.group(), _LOOKS[kind]))
     out, at = [], 0
-    for k, m in enumerate(words):
-        word, kind = m.group(), kinds[k]
+    for m, kind in zip(words, kinds):
+        word = m.group()
         new = word
         if kind == "mixed":
             new = _unmixed(word)
-        elif kind in ("cyrillic", "greek"):
-            looks = CYRILLIC_LOOKS if kind == "cyrillic" else GREEK_LOOKS
-            if all(ch in looks or not ch.isalpha() for ch in word):
-                home = [x for j, x in enumerate(kinds) if j != k and x in ("latin", "mixed", kind)]
-                same = any(j != k and x == kind and not all(ch in looks for ch in words[j].group() if ch.isalpha()) for j, x in enumerate(kinds))
-                if home and not same and (len(word) > 1 or kind == "cyrillic"):
-                    new = _swap(word, looks)
-        elif kind == "latin" and all(ch in LATIN_AS_CYRILLIC for ch in word if ch.isalpha()):
-            others = [x for j, x in enumerate(kinds) if j != k]
-            if others and "cyrillic" in others and not any(x == "latin" for x in others) and (len(word) > 1 or word in "acoyeABKOCY") and not word.isupper():
+        elif kind in _LOOKS and _is_look_alike(word, _LOOKS[kind]):
+            if (total["latin"] or total["mixed"] or total[kind] > 1) and not own[kind] and (len(word) > 1 or kind == "cyrillic"):
+                new = _swap(word, _LOOKS[kind])
+        elif kind == "latin" and own["cyrillic"] and total["latin"] == 1 and not word.isupper() and all(ch in LATIN_AS_CYRILLIC for ch in word if ch.isalpha()):
+            if len(word) > 1 or word in "acoyeABKOCY":
                 new = _swap(word, LATIN_AS_CYRILLIC)
-        out += [text[at : m.start()], new]
+        out += [text[at : m.start()], new if new == word else unicodedata.normalize("NFC", new)]
         at = m.end()
     return "".join([*out, text[at:]])
 
 
+_LOOKS = {"cyrillic": CYRILLIC_LOOKS, "greek": GREEK_LOOKS}
+
+
+def _is_look_alike(word: str, looks: dict[str, str]) -> bool:
+    return all(ch in looks or not ch.isalpha() for ch in word)
+
+
 def _kind(word: str) -> str:
     found = [name for name, pattern in (("latin", _LATIN), ("cyrillic", _CYRILLIC), ("greek", _GREEK)) if pattern.search(word)]
     return found[0] if len(found) == 1 else "mixed" if found else "other"

@@ -33,6 +33,8 @@ WRITTEN_IN = ("utf_8", "cp1252", "cp1251", "koi8_r", "mac_roman", "cp437", "cp85
 LOOK_ALIKES = set("аеорсухіѕјԁɡҺһԛԝАВЕКМНОРСТХУІЅЈοανιρυτκΑΒΕΖΗΙΚΜΝΟΡΤΥΧ\u200b\u200c\u200d\u200e\u2060\ufeff\xad\xa0\u2002\u2007\u2009\u202f\u3000ʹ’‘ʼ‐‑K")
 #: How much likelier (natural logarithm) a restored run must be, per changed character and in all.
 MARGIN_EACH, MARGIN = 0.3, 1.5
+#: Runs longer than this are looked at in parts, so that a very long value costs time in proportion.
+LONGEST_RUN = 2000
 #: Pairs that the prior of a character's successor counts for.
 PRIOR = 25.0
 #: Weight of the prior in the expected count of a pair, as a share of all pairs.
@@ -129,10 +131,12 @@ class PairModel:
         return found
 
     def known(self, text: str, before: str, after: str) -> float:
-        """Share of the pairs with a character beyond ASCII that the corpus has."""
+        """Share of the characters beyond ASCII, and of the pairs with one, that the corpus has; the lesser of the two."""
         whole = before + text + after
         wide = [(a, b) for a, b in zip(whole, whole[1:]) if a >= "\x80" or b >= "\x80"]
-        return sum(self.pairs[_hash(a + b) % PAIRS] > 0 for a, b in wide) / max(1, len(wide))
+        own = [c for c in text if c >= "\x80"]
+        singles = sum(self.singles[_hash(c) % SINGLES] > 0 for c in own) / max(1, len(own)) if own else 1.0
+        return min(singles, sum(self.pairs[_hash(a + b) % PAIRS] > 0 for a, b in wide) / max(1, len(wide)))
 
     def likelihood(self, text: str, before: str, after: str) -> float:
         """Log probability of a text between two characters."""
@@ -184,7 +188,7 @@ def improbable_runs(text: str, model: PairModel) -> list[tuple[int, int]]:
             runs[-1][1] = max(runs[-1][1], b)
         else:
             runs.append([a, b])
-    return [(a, b) for a, b in runs if a < b]
+    return [(c, min(b, c + LONGEST_RUN)) for a, b in runs if a < b for c in range(a, b, LONGEST_RUN)]
 
 
 def _legible(text: str) -> bool:

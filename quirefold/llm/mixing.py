@@ -118,5 +118,5 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total: float | None =
     zero = {c: 0 for c in ("n_texts", "n_tokens", "used_texts", "used_copies", "most_copies", "used_tokens", "rate")}
     report = wanted.join(found, "source", "left").fillna(zero)
     everything = Window.partitionBy()  # over at most MAX_TARGETS rows
-    report = report.withColumn("share", F.coalesce(F.col("used_tokens") / F.sum("used_tokens").over(everything), F.lit(0.0)))
+    report = report.withColumn("share", F.coalesce(F.try_divide("used_tokens", F.sum("used_tokens").over(everything)), F.lit(0.0)))
     return mixture, report
