@@ -83,8 +83,8 @@ def canonical(text: str) -> str:
         if i < at:
             continue
         start = i
-        while start > at and not _boundary(text[start]):
-            start -= 1  # a mark needs the letter before it
+        while start > at and (not _boundary(text[start]) or text[start] in INVISIBLE):
+            start -= 1  # a mark needs the letter before it, also behind what will vanish
         stop = i + 1
         while stop < len(text) and (not _boundary(text[stop]) or _QUICK.match(text[stop])):
             stop += 1
@@ -118,24 +118,22 @@ def _one_script(text: str) -> str:
     """Words of mixed script in the script of their other letters; whole words of look-alikes in that of their neighbours."""
     if not (_CYRILLIC.search(text) or _GREEK.search(text)) or not _LATIN.search(text):
         return text
-    words = list(_WORD.finditer(text))
-    kinds = [_kind(m.group()) for m in words]
+    found = list(_WORD.finditer(text))
+    # Mixed words are settled first; what they turn out to be counts for their neighbours.
+    words = [_unmixed(m.group()) if _kind(m.group()) == "mixed" else m.group() for m in found]
+    kinds = [_kind(word) for word in words]
     total = Counter(kinds)
     # Words of a kind that have a letter no other script shows.
-    own = Counter(kind for m, kind in zip(words, kinds) if kind in _LOOKS and not _is_look_alike(m.group(), _LOOKS[kind]))
+    own = Counter(kind for word, kind in zip(words, kinds) if kind in _LOOKS and not _is_look_alike(word, _LOOKS[kind]))
     out, at = [], 0
-    for m, kind in zip(words, kinds):
-        word = m.group()
-        new = word
-        if kind == "mixed":
-            new = _unmixed(word)
-        elif kind in _LOOKS and _is_look_alike(word, _LOOKS[kind]):
+    for m, word, kind in zip(found, words, kinds):
+        if kind in _LOOKS and _is_look_alike(word, _LOOKS[kind]):
             if (total["latin"] or total["mixed"] or total[kind] > 1) and not own[kind] and (len(word) > 1 or kind == "cyrillic"):
-                new = _swap(word, _LOOKS[kind])
+                word = _swap(word, _LOOKS[kind])
         elif kind == "latin" and own["cyrillic"] and total["latin"] == 1 and not word.isupper() and all(ch in LATIN_AS_CYRILLIC for ch in word if ch.isalpha()):
             if len(word) > 1 or word in "acoyeABKOCY":
-                new = _swap(word, LATIN_AS_CYRILLIC)
-        out += [text[at : m.start()], new if new == word else unicodedata.normalize("NFC", new)]
+                word = _swap(word, LATIN_AS_CYRILLIC)
+        out += [text[at : m.start()], word if word == m.group() else unicodedata.normalize("NFC", word)]
         at = m.end()
     return "".join([*out, text[at:]])
 
