@@ -37,6 +37,8 @@ MARGIN_EACH, MARGIN = 0.3, 1.5
 LONGEST_RUN = 2000
 #: Pairs that the prior of a character's successor counts for.
 PRIOR = 25.0
+#: Share of the restored characters and pairs that the corpus must have.
+KNOWN = 0.6
 #: Weight of the prior in the expected count of a pair, as a share of all pairs.
 RARE = 1e-5
 _LOST = re.compile(r"[�\x80-\x84\x86-\x9f]|[^\W\d_]\?[^\W\d_]")
@@ -60,6 +62,7 @@ def _bytes_of(codec: str) -> dict[str, int]:
     return out
 
 
+@lru_cache(maxsize=4096)
 def misread(text: str, read_as: str) -> bytes | None:
     """The bytes of a text that was read with a codec; None if it can't have been."""
     if read_as in ("cp932", "gbk"):
@@ -113,6 +116,7 @@ class PairModel:
         self.pairs, self.singles = pairs, singles
         self.total = float(max(1.0, singles.sum()))
         self.cache: dict[tuple[str, str], tuple[float, float]] = {}
+        self.seen: dict[str, bool] = {}
         self.options: dict[tuple[str, str, str], dict] = {}
 
     def score(self, a: str, b: str) -> tuple[float, float]:
@@ -130,12 +134,21 @@ class PairModel:
             self.cache[a, b] = found = (information, likely)
         return found
 
+    def has(self, ch: str) -> bool:
+        """Whether the corpus has a character."""
+        found = self.seen.get(ch)
+        if found is None:
+            self.seen[ch] = found = bool(self.singles[_hash(ch) % SINGLES] > 0)
+        return found
+
     def known(self, text: str, before: str, after: str) -> float:
         """Share of the characters beyond ASCII, and of the pairs with one, that the corpus has; the lesser of the two."""
         whole = before + text + after
         wide = [(a, b) for a, b in zip(whole, whole[1:]) if a >= "\x80" or b >= "\x80"]
         own = [c for c in text if c >= "\x80"]
-        singles = sum(self.singles[_hash(c) % SINGLES] > 0 for c in own) / max(1, len(own)) if own else 1.0
+        singles = sum(map(self.has, own)) / len(own) if own else 1.0
+        if singles < KNOWN:
+            return singles
         return min(singles, sum(self.pairs[_hash(a + b) % PAIRS] > 0 for a, b in wide) / max(1, len(wide)))
 
     def likelihood(self, text: str, before: str, after: str) -> float:
@@ -198,7 +211,7 @@ def _legible(text: str) -> bool:
 
 def _gain(part: str, out: str, before: str, after: str, model: PairModel) -> float:
     """How much likelier a restored part is than the part itself, beyond the margin; negative if it isn't to be taken."""
-    if not _legible(out) or model.known(out, before, after) < 0.6:
+    if not _legible(out) or model.known(out, before, after) < KNOWN:
         return -1.0
     changed = max(1, sum(c >= "\x80" for c in out))
     return model.likelihood(out, before, after) - model.likelihood(part, before, after) - MARGIN_EACH * changed - MARGIN
@@ -219,26 +232,37 @@ def _mapped(part: str, read_as: str, written_in: str, before: str, after: str, m
     return best
 
 
+@lru_cache(maxsize=4096)
+def _parts(run: str, read_as: str) -> list[str]:
+    """The words of a run with the blanks between them, or the stretches that the codec can and can't have made."""
+    if " " in run:
+        return re.split(r"(\s+)", run)
+    table = _bytes_of(read_as)
+    parts, at = [], 0
+    while at < len(run):
+        stop = at
+        while stop < len(run) and (run[stop] in table) == (run[at] in table):
+            stop += 1
+        parts.append(run[at:stop])
+        at = stop
+    return parts
+
+
 def _apply(run: str, read_as: str, written_in: str, before: str, after: str, model: PairModel) -> tuple[float, str]:
     """A mapping on a whole run, else on its words, else on the stretches that the codec can have made."""
     whole = _mapped(run, read_as, written_in, before, after, model)
     if whole[0] > 0:
         return whole
-    table = _bytes_of(read_as)
-    parts = re.split(r"(\s+)", run) if " " in run else []
+    parts = _parts(run, read_as)
     if len(parts) < 2:
-        parts, at = [], 0
-        while at < len(run):
-            stop = at
-            while stop < len(run) and (run[stop] in table) == (run[at] in table):
-                stop += 1
-            parts.append(run[at:stop])
-            at = stop
-        if len(parts) < 2:
-            return 0.0, run
+        return 0.0, run
     total, out, left = 0.0, [], 0
     for part in parts:
         right = left + len(part)
+        if part.isascii():
+            out.append(part)
+            left = right
+            continue
         gain, new = _mapped(part, read_as, written_in, run[left - 1] if left else before, run[right] if right < len(run) else after, model)
         total += gain
         out.append(new)
