@@ -6,7 +6,9 @@ reaches a threshold: each form is posted under its rarest grams only, as many as
 such pair can miss each other, and a pair is judged where its first common gram is posted.  An
 exact check of the parts then refuses pairs that contradict each other (two given names, two
 initials, a studio and a person).  The remaining pairs make components, and inside each component
-average-linkage clustering decides which forms belong together.
+average-linkage clustering decides which forms belong together.  Small components are clustered by
+one task each, large ones in distributed rounds that merge mutually nearest clusters; sums of
+similarities are whole numbers and ties go by name, so both ways give the same classes.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ from quirefold.session import cut_lineage
 GRAMS, WORDS = 1 << 18, 1 << 18
 #: Cosine from which two forms are compared, and average similarity from which clusters are merged.
 THRESHOLD, LINKAGE = 0.45, 0.42
-#: Forms of a component that one task clusters; larger components are cut at a higher cosine first.
+#: Forms of a component that one task clusters; larger components are clustered by all tasks, with the same result.
 COMPONENT = 1500
+#: Similarities are whole multiples of 1 / UNIT, so that their sums don't depend on the order.
+UNIT = 1 << 30
 #: Longer words are only compared for being equal.
 LONGEST_WORD = 80
 
@@ -269,33 +273,81 @@ def _persons(a: str, b: str, weights: Weights) -> int:
     return 0 if near or doubtful or slips > 1 else 1
 
 
+def similarity(a: str, b: str, weights: Weights) -> int:
+    """Similarity of two forms of a component, in units of 1 / UNIT; none if they contradict each other."""
+    told = relation(a, b, weights)
+    return 0 if told < 0 else round(weights.cosine(a, b) * (1.0 if told else 0.8) * UNIT)
+
+
 def linkage(forms: list[str], weights: Weights, least: float = LINKAGE) -> list[int]:
-    """Cluster of each form: the two clusters of greatest average similarity are merged while it reaches ``least``."""
+    """Cluster of each form: the two clusters of greatest average similarity are merged while it reaches ``least``.
+
+    Of equally similar pairs the one of the least members goes first.
+    """
     n = len(forms)
-    similarity = np.zeros((n, n))
+    sums, sizes = np.zeros((n, n), dtype=np.int64), np.ones(n, dtype=np.int64)
     for i in range(n):
         for j in range(i + 1, n):
-            told = relation(forms[i], forms[j], weights)
-            value = 0.0 if told < 0 else weights.cosine(forms[i], forms[j]) * (1.0 if told else 0.8)
-            similarity[i, j] = similarity[j, i] = value
-    alive, sizes = np.ones(n, dtype=bool), np.ones(n)
+            sums[i, j] = sums[j, i] = similarity(forms[i], forms[j], weights)
     cluster = list(range(n))
-    np.fill_diagonal(similarity, -1.0)
+    average = sums / float(UNIT)
+    np.fill_diagonal(average, -1.0)
     while True:
-        at = int(np.argmax(similarity))
+        at = int(np.argmax(average))
         i, j = divmod(at, n)
-        if similarity[i, j] < least:
+        if average[i, j] < least:
             return cluster
         i, j = min(i, j), max(i, j)
-        merged = (similarity[i] * sizes[i] + similarity[j] * sizes[j]) / (sizes[i] + sizes[j])
+        sums[i] += sums[j]
+        sums[:, i] = sums[i]
         sizes[i] += sizes[j]
-        alive[j] = False
-        similarity[i], similarity[:, i] = merged, merged
-        similarity[j], similarity[:, j] = -1.0, -1.0
-        similarity[i, ~alive] = similarity[~alive, i] = similarity[i, i] = -1.0
+        fresh = sums[i] / (float(UNIT) * (sizes[i] * sizes))
+        fresh[average[i] < 0] = -1.0
+        average[i], average[:, i] = fresh, fresh
+        average[j], average[:, j] = -1.0, -1.0
         cluster = [i if c == j else c for c in cluster]
 
 
+def linkage_by_rounds(pairs: DataFrame, least: float = LINKAGE) -> DataFrame:
+    """Average linkage as ``linkage`` does it, of pairs (a, b, total) of forms a < b with their similarity: (node, entity).
+
+    Each round merges all pairs of clusters that are nearest to each other.  A merged cluster is
+    never more similar to a third than the nearer of its halves was, so the order of the merges
+    doesn't matter.  Clusters that reach ``least`` with no other are finished and leave the pairs.
+    Only forms that were merged into another are returned; every round is materialised.
+    """
+    spark = pairs.sparkSession
+    links = pairs.select("a", "b", "total", F.lit(1).cast("long").alias("size_a"), F.lit(1).cast("long").alias("size_b"))
+    moved: DataFrame | None = None
+    while True:
+        links = links.withColumn("average", F.col("total").cast("double") / (F.lit(float(UNIT)) * (F.col("size_a") * F.col("size_b"))))
+        # A pair comes before another by its average, then by its names.
+        rank = F.struct((-F.col("average")).alias("far"), "a", "b", "size_a", "size_b")
+        ends = links.where(F.col("average") >= least).select(F.explode(F.array("a", "b")).alias("node"), rank.alias("rank"))
+        nearest = cut_lineage(ends.groupBy("node").agg(F.min("rank").alias("rank")))
+        merges = nearest.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select(F.col("rank.a").alias("into"), F.col("rank.b").alias("from"), (F.col("rank.size_a") + F.col("rank.size_b")).alias("size"))
+        merges = cut_lineage(merges)
+        if not merges.limit(1).count():
+            break
+        step = merges.select(F.col("from").alias("node"), F.col("into").alias("entity"))
+        if moved is None:
+            moved = step
+        else:
+            earlier = moved.join(step.select(F.col("node").alias("entity"), F.col("entity").alias("next")), "entity", "left").select("node", F.coalesce("next", "entity").alias("entity"))
+            moved = earlier.unionByName(step)
+        moved = cut_lineage(moved)
+        renamed = merges.select(F.explode(F.array("into", "from")).alias("node"), F.col("into").alias("new"), F.col("size").alias("grown"))
+        open_ = nearest.select("node").join(renamed, "node", "left")
+        one = open_.select(F.col("node").alias("a"), F.coalesce("new", "node").alias("new_a"), F.col("grown").alias("grown_a"))
+        two = open_.select(F.col("node").alias("b"), F.coalesce("new", "node").alias("new_b"), F.col("grown").alias("grown_b"))
+        kept = links.join(one, "a").join(two, "b").where("new_a <> new_b").select(
+            F.least("new_a", "new_b").alias("a"), F.greatest("new_a", "new_b").alias("b"), "total",
+            *[F.when((F.col("new_a") < F.col("new_b")) == F.lit(first), F.coalesce("grown_a", "size_a")).otherwise(F.coalesce("grown_b", "size_b")).alias(name) for name, first in (("size_a", True), ("size_b", False))],
+        )
+        links = cut_lineage(kept.groupBy("a", "b").agg(F.sum("total").alias("total"), F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b")))
+    return moved if moved is not None else spark.createDataFrame([], "node string, entity string")
+
+
 def _table(rows: DataFrame, size: int) -> np.ndarray:
     """Counts by slot; at most ``size`` rows come to the driver."""
     found = rows.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).toPandas()
@@ -375,19 +427,9 @@ def link_names(spellings: DataFrame, name: str, threshold: float = THRESHOLD, le
     first = met.where(F.array_min(F.array_intersect("grams", "grams_b")) == F.col("gram")).select(F.col("form").alias("a"), F.col("form_b").alias("b"))
     edges = cut_lineage(first.withColumn("cosine", judged("a", "b")).where("cosine > 0"))
 
-    labels = components(edges)
-    cut = threshold
-    while cut < 1.0:
-        large = labels.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COMPONENT).select("root")
-        if not large.limit(1).count():
-            break
-        cut = min(1.0, cut + 0.15)
-        inside = labels.join(large, "root", "left_semi").select("node")
-        tight = edges.where(F.col("cosine") >= cut).join(inside, F.col("a") == F.col("node"), "left_semi")
-        again = components(tight)
-        rest = labels.join(inside, "node", "left_anti")
-        alone = inside.join(again, "node", "left_anti").select("node", F.col("node").alias("root"))
-        labels = cut_lineage(rest.unionByName(again.select("node", "root")).unionByName(alone))
+    labels = cut_lineage(components(edges))
+    sizes = labels.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    large = cut_lineage(labels.join(sizes.where(F.col("n") > COMPONENT).select("root"), "root", "left_semi"))
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         members = sorted(pdf["node"])
@@ -400,7 +442,21 @@ def link_names(spellings: DataFrame, name: str, threshold: float = THRESHOLD, le
     def clusters(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.concat([cluster(part) for _, part in pdf.groupby("root")])
 
-    grouped = labels.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(clusters, "form string, entity string")
+    small = labels.join(sizes.where(F.col("n") <= COMPONENT).select("root"), "root", "left_semi")
+    grouped = small.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(clusters, "form string, entity string")
+    if large.limit(1).count():
+        # Averages count all pairs of a component, also those below the threshold: whatever has a gram in common.
+        @F.pandas_udf("long")
+        def similar(one: pd.Series, two: pd.Series) -> pd.Series:
+            w = _weights(shared)
+            return pd.Series([similarity(a, b, w) for a, b in zip(one, two)], dtype="int64")
+
+        spread = large.select("root", F.col("node").alias("a"), grams("node").alias("grams")).select("*", F.explode("grams").alias("gram"))
+        spread = cut_lineage(spread)
+        others = spread.select("root", F.col("a").alias("b"), F.col("grams").alias("grams_b"), "gram")
+        common = spread.join(others, ["root", "gram"]).where("a < b").where(F.array_min(F.array_intersect("grams", "grams_b")) == F.col("gram"))
+        pairs = cut_lineage(common.select("a", "b").withColumn("total", similar("a", "b")).where("total > 0"))
+        grouped = grouped.unionByName(linkage_by_rounds(pairs, least).withColumnRenamed("node", "form"))
     return named.join(grouped, "form", "left").select("spelling", F.coalesce("entity", "form").alias("entity"))
 
 

@@ -125,3 +125,16 @@ def test_large_components_are_cut_tighter(spark, bound, monkeypatch):
     rows = [(v,) for g, f in PEOPLE[:4] for v in variants(g, f, random.Random(8))]
     out = {r.spelling: r.entity for r in link_names(spark.createDataFrame(rows, "val string"), "val").collect()}
     assert set(out) == {v for (v,) in rows} and out["Theodore Soshorkladal" if "Theodore Soshorkladal" in out else rows[0][0]]
+
+
+def test_linking_does_not_depend_on_the_bound(spark, monkeypatch):
+    """A dense family of names chained by slips and initials gets the same classes by one task and by all."""
+    rng = random.Random(9)
+    rows = [(v,) for g, f in [*PEOPLE[:8], ("Tabea", PEOPLE[0][1]), ("Theodora", PEOPLE[0][1])] for _ in range(3) for v in variants(g, f, rng)]
+    df = spark.createDataFrame(rows, "val string")
+    out = []
+    for bound in (1500, 3):
+        monkeypatch.setattr(N, "COMPONENT", bound)
+        out.append({r.spelling: r.entity for r in link_names(df, "val").collect()})
+    assert len(set(out[0].values())) < len(out[0]) / 3
+    assert out[0] == out[1], (len(set(out[0].values())), len(set(out[1].values())))
