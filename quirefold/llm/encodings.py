@@ -12,6 +12,7 @@ not teach the model that it is text.  Counts are kept in tables of fixed size, b
 
 from __future__ import annotations
 
+import codecs
 import math
 import re
 from collections.abc import Sequence
@@ -33,7 +34,7 @@ WRITTEN_IN = ("utf_8", "cp1252", "cp1251", "koi8_r", "mac_roman", "cp437", "cp85
 LOOK_ALIKES = set("аеорсухіѕјԁɡҺһԛԝАВЕКМНОРСТХУІЅЈοανιρυτκΑΒΕΖΗΙΚΜΝΟΡΤΥΧ\u200b\u200c\u200d\u200e\u2060\ufeff\xad\xa0\u2002\u2007\u2009\u202f\u3000ʹ’‘ʼ‐‑K")
 #: How much likelier (natural logarithm) a restored run must be, per changed character and in all.
 MARGIN_EACH, MARGIN = 0.3, 1.5
-#: Runs longer than this are looked at in parts, so that a very long value costs time in proportion.
+#: Runs longer than this that no mapping restores as a whole are looked at in blocks, and nothing about them is kept.
 LONGEST_RUN = 2000
 #: Pairs that the prior of a character's successor counts for.
 PRIOR = 25.0
@@ -62,9 +63,13 @@ def _bytes_of(codec: str) -> dict[str, int]:
     return out
 
 
-@lru_cache(maxsize=4096)
 def misread(text: str, read_as: str) -> bytes | None:
     """The bytes of a text that was read with a codec; None if it can't have been."""
+    return (_misread if len(text) <= LONGEST_RUN else _misread.__wrapped__)(text, read_as)
+
+
+@lru_cache(maxsize=4096)
+def _misread(text: str, read_as: str) -> bytes | None:
     if read_as in ("cp932", "gbk"):
         try:
             return text.encode(read_as)
@@ -191,7 +196,10 @@ def improbable_runs(text: str, model: PairModel) -> list[tuple[int, int]]:
     runs: list[list[int]] = []
     for start, stop in max_segments(scores):
         a, b = max(0, start - 1), min(len(text), stop)
-        while a > 0 and not text[a - 1].isspace():
+        # What the run before has looked at isn't looked at again.
+        last = runs[-1][1] if runs else 0
+        b = max(b, last)
+        while a > last and not text[a - 1].isspace():
             a -= 1
         while b < len(text) and not text[b].isspace():
             b += 1
@@ -201,7 +209,7 @@ def improbable_runs(text: str, model: PairModel) -> list[tuple[int, int]]:
             runs[-1][1] = max(runs[-1][1], b)
         else:
             runs.append([a, b])
-    return [(c, min(b, c + LONGEST_RUN)) for a, b in runs if a < b for c in range(a, b, LONGEST_RUN)]
+    return [(a, b) for a, b in runs if a < b]
 
 
 def _legible(text: str) -> bool:
@@ -232,9 +240,42 @@ def _mapped(part: str, read_as: str, written_in: str, before: str, after: str, m
     return best
 
 
-@lru_cache(maxsize=4096)
 def _parts(run: str, read_as: str) -> list[str]:
     """The words of a run with the blanks between them, or the stretches that the codec can and can't have made."""
+    return (_kept_parts if len(run) <= LONGEST_RUN else _kept_parts.__wrapped__)(run, read_as)
+
+
+def _block_end(run: str, at: int, read_as: str, written_in: str) -> int:
+    """Where a block of a long run ends: after its last blank, else where the last sequence of the codec is complete."""
+    stop = at + LONGEST_RUN
+    if stop >= len(run):
+        return len(run)
+    blank = run.rfind(" ", at, stop)
+    if blank > at:
+        return blank + 1
+    if misread(run[at:stop], read_as) is None:
+        # A character that the codec can't have made ends a sequence anyway.
+        at = next(k for k in range(stop, at, -1) if misread(run[k - 1], read_as) is None)
+    for end in range(stop, max(at, stop - 8), -1):
+        decoder = codecs.getincrementaldecoder(written_in)("replace")
+        decoder.decode(misread(run[at:end], read_as) or b"")
+        if not decoder.getstate()[0]:
+            return end
+    return stop
+
+
+def _blocks(run: str, read_as: str, written_in: str) -> list[str]:
+    """A long run in blocks of at most LONGEST_RUN characters that cut no sequence of the codec it may be written in."""
+    out, at = [], 0
+    while at < len(run):
+        end = _block_end(run, at, read_as, written_in)
+        out.append(run[at:end])
+        at = end
+    return out
+
+
+@lru_cache(maxsize=4096)
+def _kept_parts(run: str, read_as: str) -> list[str]:
     if " " in run:
         return re.split(r"(\s+)", run)
     table = _bytes_of(read_as)
@@ -249,10 +290,19 @@ def _parts(run: str, read_as: str) -> list[str]:
 
 
 def _apply(run: str, read_as: str, written_in: str, before: str, after: str, model: PairModel) -> tuple[float, str]:
-    """A mapping on a whole run, else on its words, else on the stretches that the codec can have made."""
+    """A mapping on a whole run, else on its blocks, else on its words, else on the stretches that the codec can have made."""
     whole = _mapped(run, read_as, written_in, before, after, model)
     if whole[0] > 0:
         return whole
+    if len(run) > LONGEST_RUN:
+        total, out, left = 0.0, [], 0
+        for block in _blocks(run, read_as, written_in):
+            right = left + len(block)
+            gain, new = (0.0, block) if block.isascii() else _apply(block, read_as, written_in, run[left - 1] if left else before, run[right] if right < len(run) else after, model)
+            total += gain
+            out.append(new)
+            left = right
+        return total, "".join(out)
     parts = _parts(run, read_as)
     if len(parts) < 2:
         return 0.0, run
@@ -284,6 +334,8 @@ def _options(run: str, before: str, after: str, model: PairModel) -> dict[tuple[
                     gain, new = _apply(run, read_as, written_in, before, after, model)
                     if gain > 0:
                         found[read_as, written_in] = (gain, new)
+        if len(run) > LONGEST_RUN:
+            return found
         if len(model.options) > 50_000:
             model.options.clear()
         model.options[key] = found

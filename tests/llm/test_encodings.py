@@ -2,8 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 
+from quirefold.llm import encodings as E
 from quirefold.llm.encodings import inverse, max_segments, restore_fields
 
 WORDS = {
@@ -80,3 +82,50 @@ def test_the_rest_is_left_alone(result):
 
 def test_empty(spark):
     assert restore_fields(spark.createDataFrame([], "info_id long, title string"), "info_id", ["title"]).collect() == []
+
+
+@pytest.fixture(scope="module")
+def model():
+    pairs, singles = np.zeros(E.PAIRS, np.float32), np.zeros(E.SINGLES, np.float32)
+    for t in [*corpus(), *(t.replace(" ", "") for t in corpus())]:
+        padded = f" {t} "
+        for a, b in zip(padded, padded[1:]):
+            pairs[E._hash(a + b) % E.PAIRS] += 1
+            singles[E._hash(a) % E.SINGLES] += 1
+    return E.PairModel(pairs, singles)
+
+
+def unspaced(n):
+    """About n characters of Japanese UTF-8, when it was misread."""
+    rng = random.Random(n)
+    out = ""
+    while 3 * len(out) < n:
+        out += rng.choice(WORDS["ja"].split())
+    return out
+
+
+@pytest.mark.parametrize("read", ["mac_roman", "cp437"])
+@pytest.mark.parametrize("n", [1500, 3000, 50000])
+def test_long_values_without_blanks(model, n, read):
+    text = unspaced(n)
+    bad = misread(text, "utf_8", read)
+    assert " " not in bad and E.restore(bad, model) == (text, True)
+
+
+@pytest.mark.parametrize("read", ["mac_roman", "cp437"])
+def test_a_lost_byte_costs_one_block(model, read):
+    """What can't be restored as a whole is restored in blocks that cut no sequence."""
+    text = unspaced(20000)
+    bad = misread(text, "utf_8", read)
+    got, garbled = E.restore(bad[:9000] + bad[9001:], model)
+    assert garbled and got[:2000] == text[:2000] and sum(ch in set(text) for ch in got) >= 0.6 * len(text)
+
+
+@pytest.mark.parametrize("written,read", [("utf_8", "mac_roman"), ("utf_8", "cp437"), ("euc_jp", "mac_roman"), ("cp932", "cp437"), ("utf_8", "gbk")])
+def test_blocks_cut_no_sequence(written, read):
+    raw = unspaced(30000).encode(written)
+    bad = raw.decode(read, "ignore") if read == "gbk" else misread(unspaced(30000), written, read)
+    blocks = E._blocks(bad, read, written)
+    assert "".join(blocks) == bad and len(blocks) > 3 and max(map(len, blocks)) <= E.LONGEST_RUN
+    if read != "gbk":
+        assert "".join(inverse(b, read, written) for b in blocks) == unspaced(30000)
