@@ -8,6 +8,8 @@ a text is kept as it is and the canonical segments are spliced in.
 
 from __future__ import annotations
 
+import re
+import sys
 import unicodedata
 from collections import Counter
 from collections.abc import Sequence
@@ -29,16 +31,39 @@ BLANKS = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u20
 PLAIN = {"\u2019": "'", "\u2018": "'", "\u02bc": "'", "\u02b9": "'", "\u02c8": "'", "\u2032": "'", "\u201b": "'", "\uff07": "'", "\u00b4": "'", "`": "'", "\u2010": "-", "\u2011": "-", "\u2012": "-", "\u2212": "-", "\ufe63": "-", "\uff0d": "-"}
 #: Compatibility characters that are spellings of their own and stay.
 _KEPT = set("\u00aa\u00ba\u00b2\u00b3\u00b9\u00bc\u00bd\u00be\u2122\u2116\u2026\u2103\u2109 \ufdfc\u338f\u339d\u339e\u00a9\u00ae\u2025\u2121\u3231")
-# What the quick check looks for; the same pattern runs on the JVM, where most rows end.
-_UNSTABLE = (
-    r"\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\u3099\u309a\u0653-\u0655\u1100-\u11ff"  # marks and parts that compose
-    r"\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u2069\ufeff\ufe00-\ufe0f"
-    r"\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000"
-    r"\u2018\u2019\u201b\u02bc\u02b9\u02c8\u2032\u00b4`\u2010-\u2012\u2212\ufe63"
-    r"\uff00-\uffef\ufb00-\ufb06\u2100-\u214f\u2160-\u2188\u2460-\u24ff\u0132\u0133\u01c4-\u01cc\u01f1-\u01f3\u0340-\u0344\u037e\u0387\u1f71-\u1fff\uf900-\ufaff"
-)
-QUICK_CHECK_JVM = f"(?s)[{_UNSTABLE}\\x{{1d400}}-\\x{{1d7ff}}]|[\\p{{IsCyrillic}}\\p{{IsGreek}}].*\\p{{IsLatin}}|\\p{{IsLatin}}.*[\\p{{IsCyrillic}}\\p{{IsGreek}}]"
-_QUICK = regex.compile(rf"[{_UNSTABLE}\U0001d400-\U0001d7ff]")
+
+
+def _ranges(codes: Sequence[int]) -> list[tuple[int, int]]:
+    """Ascending code points as first and last of each unbroken stretch."""
+    out: list[list[int]] = []
+    for c in codes:
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return [(a, b) for a, b in out]
+
+
+def _quick_check() -> tuple[list[tuple[int, int]], frozenset[str]]:
+    """The code points that normalisation may change or move, or that are unusual; and the starters that compose with what stands before.
+
+    The former are those with a quick check (NFC, NFKC) other than Yes or a combining class other than 0.
+    """
+    codes = [c for c in range(sys.maxunicode + 1) if not 0xD800 <= c <= 0xDFFF]
+    split = {c: [int(x, 16) for x in d.split()] for c in codes if (d := unicodedata.decomposition(chr(c))) and d[0] != "<"}
+    seconds = {d[1] for c, d in split.items() if len(d) == 2 and unicodedata.normalize("NFC", "".join(map(chr, d))) == chr(c)}
+    seconds.update(range(0x1161, 0x1176), range(0x11A8, 0x11C3))  # Hangul composes by rule
+    unstable = {c for c in codes if c in seconds or unicodedata.combining(chr(c)) or not unicodedata.is_normalized("NFC", chr(c)) or not unicodedata.is_normalized("NFKC", chr(c))}
+    unstable.update(range(0x1100, 0x1200), map(ord, INVISIBLE), map(ord, BLANKS), map(ord, PLAIN))
+    return _ranges(sorted(unstable - set(map(ord, _KEPT - {" "})) - {0x20})), frozenset(chr(c) for c in seconds if not unicodedata.combining(chr(c)))
+
+
+# What the quick check looks for; the same class runs on the JVM, where most rows end.
+_RANGES, _JOINING = _quick_check()
+_UNSTABLE = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in _RANGES)
+# The JVM tries the ranges one by one, so what is plain ASCII is passed over first.
+QUICK_CHECK_JVM = f"(?s)[`[^\\x00-\\x7f]&&[{_UNSTABLE}]]|[\\p{{IsCyrillic}}\\p{{IsGreek}}].*\\p{{IsLatin}}|\\p{{IsLatin}}.*[\\p{{IsCyrillic}}\\p{{IsGreek}}]"
+_QUICK = re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _RANGES) + "]")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{Cf}]+(?:['’ʼʹ＇-][\p{L}\p{M}\p{Cf}]+)*")
 _LATIN, _CYRILLIC, _GREEK = regex.compile(r"\p{Latin}"), regex.compile(r"\p{Cyrillic}"), regex.compile(r"\p{Greek}")
 _EAST = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]")
@@ -61,6 +86,9 @@ def _compatible(ch: str, east: bool) -> str:
     """The plain form of one compatibility character."""
     if ch in _KEPT:
         return ch
+    single = unicodedata.normalize("NFC", ch)
+    if single in PLAIN:
+        return PLAIN[single]
     code = ord(ch)
     if 0xFF01 <= code <= 0xFF5E and east and not ch.isalnum():
         return ch  # wide punctuation is at home in East Asian text
@@ -68,9 +96,10 @@ def _compatible(ch: str, east: bool) -> str:
     return plain if plain.strip() or ch.isspace() else ch
 
 
+@lru_cache(maxsize=65536)
 def _boundary(ch: str) -> bool:
-    """Whether normalisation starts afresh before a character."""
-    return unicodedata.combining(ch) == 0 and ch not in "\u3099\u309a" and not "\u1160" <= ch <= "\u11ff"
+    """Whether normalisation starts afresh before a character, also before what becomes of it."""
+    return all(unicodedata.combining(c) == 0 and c not in _JOINING and not "\u1160" <= c <= "\u11ff" for c in (ch, _compatible(ch, False)[0]))
 
 
 def canonical(text: str) -> str:
@@ -106,7 +135,7 @@ def _canonical_segment(text: str, start: int, stop: int, east: bool) -> str:
         elif ch in PLAIN:
             chars.append(PLAIN[ch])
         else:
-            chars.append(_compatible(ch, east))
+            chars += [PLAIN.get(c, c) for c in _compatible(ch, east) if c == ch or c not in INVISIBLE]
     return unicodedata.normalize("NFC", "".join(chars))
 
 

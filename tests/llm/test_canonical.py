@@ -53,3 +53,27 @@ def test_jvm_check_misses_nothing(spark):
     texts = [*SAME, *CHANGED, *("".join(rng.choice(pool) for _ in range(rng.randrange(1, 6))) for _ in range(800))]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, t string")
     assert all(r.plain == canonical(r.original) for r in canonical_fields(df, "id", ["t"]).collect())
+
+
+ASSIGNED = [chr(c) for c in range(0x30000) if unicodedata.category(chr(c)) not in ("Cn", "Co", "Cs", "Cc")]
+
+
+@pytest.mark.parametrize("one,two", [("\u0915\u093c", "\u0958"), ("\u09a1\u09bc", "\u09dc"), ("\u05e9\u05c1", "\ufb2a"), ("\u0644\u0627", "\ufefb"), ("\u9f8d", "\u2fd3"), ("\u09c7\u09be", "\u09cb"), ("\u30ab\uff9e", "\u30ac"), ("\u05d1\u05b8\u05bc", "\u05d1\u05bc\u05b8")])
+def test_other_scripts(one, two):
+    assert canonical(one) == canonical(two) == unicodedata.normalize("NFC", canonical(two))
+
+
+def test_every_character():
+    """Equal looks of all assigned characters become equal text, once and for all."""
+    for ch in ASSIGNED:
+        text = f"x{ch}"
+        once = canonical(text)
+        assert unicodedata.is_normalized("NFC", once) and canonical(once) == once, ascii(text)
+        assert canonical(unicodedata.normalize("NFD", text)) == once == canonical(unicodedata.normalize("NFC", text)), ascii(text)
+
+
+def test_jvm_check_misses_no_character(spark):
+    texts = [f"x{ch}" for ch in ASSIGNED if canonical(f"x{ch}") != f"x{ch}"] + ["".join(ASSIGNED[k : k + 1]) for k in range(0, len(ASSIGNED), 97)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    wrong = [ascii(r.original) for r in canonical_fields(df, "id", ["t"]).collect() if r.plain != canonical(r.original)]
+    assert len(texts) > 5000 and not wrong, (len(wrong), wrong[:9])
