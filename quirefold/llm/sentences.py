@@ -49,6 +49,7 @@ class Rule:
     after: str = ""
     case: str = "normal caps small"
     start: bool = False  # ``before`` must cover the sentence so far
+    inside: bool = False  # the place must lie inside an address, however long
 
 
 _COMMON = [
@@ -59,8 +60,7 @@ _COMMON = [
     Rule(False, "", r"\s*[—–-]\s"),
     Rule(False, r"\p{N}[.]", r"\p{N}"),
     Rule(False, r"[.]", r"[ºª]"),
-    Rule(False, r"(?:https?://|www\.)\S*", r"\S"),
-    Rule(False, r"\S*@\S+", r"\S"),
+    Rule(False, inside=True),
     Rule(True, r"\p{Ll}{2}[.]", r"\p{Lu}\p{Ll}|\p{Lu}[.]\s?\p{Lu}|[“\"«(]\p{Lu}", case="normal"),  # the blank is missing
     Rule(True, r"(?<!\p{L}[.])\p{L}{3}[.]", r"\p{L}{2}|\p{L}[.]\s?\p{L}", case="caps small"),
     Rule(True, r"[!?…]+[”»\")]*", r"\p{Lu}|\p{Lo}|[“\"«(„]", case="normal caps"),
@@ -144,7 +144,7 @@ def _compiled(script: str, case: str):
         if case in rule.case.split():
             # What stands before is read backwards from the place.
             before = (compiled(f"^(?:{rule.before})$") if rule.start else compiled(f"(?:{rule.before})$", regex.REVERSE)) if rule.before else None
-            out.append((rule.cut, before, compiled(rule.after) if rule.after else None, rule.start))
+            out.append((rule.cut, before, compiled(rule.after) if rule.after else None, rule.start, rule.inside))
     return out
 
 
@@ -194,23 +194,41 @@ def is_wrapped(text: str, source: str | None) -> bool:
 _MARKS = regex.compile("[" + regex.escape("".join({*CLOSES, *"".join(CLOSES.values())})) + "]")
 
 
+# What each closing mark can close.
+_OPENS = {ch: [o for o, closes in CLOSES.items() if ch in closes] for ch in "".join(CLOSES.values())}
+_WEB, _MAIL = regex.compile(r"(?:https?://|www\.)(?P<rest>\S*)", regex.IGNORECASE), regex.compile(r"@\S(?P<rest>\S*)")
+
+
+def _addresses(text: str) -> list[tuple[list[int], list[int]]]:
+    """First and last place inside each web address, and each mail address from its @ on."""
+    found = [list(pattern.finditer(text)) for pattern in (_WEB, _MAIL)]
+    return [([m.start("rest") for m in f], [m.end() - 1 for m in f]) for f in found]
+
+
 def _closed(text: str) -> tuple[list[int], list[int], dict[int, int]]:
     """Places where the nesting depth changes and the depth from there on, and the opening place of each closing mark.
 
     Unpaired marks count as none.
     """
     stack: list[tuple[str, int]] = []
+    heights: dict[str, list[int]] = {ch: [] for ch in CLOSES}  # where in the stack the open marks of a kind are
     pairs: dict[int, int] = {}
+
+    def pair(i: int, height: int) -> None:
+        pairs[i] = stack[height][1]
+        while len(stack) > height:
+            heights[stack.pop()[0]].pop()
+
     for m in _MARKS.finditer(text):
         ch, i = m.group(), m.start()
         if stack and ch in CLOSES[stack[-1][0]]:
-            pairs[i] = stack.pop()[1]
+            pair(i, len(stack) - 1)
             continue
-        deeper = next((k for k in range(len(stack) - 1, max(-1, len(stack) - 9), -1) if ch in CLOSES[stack[k][0]]), None) if ch in _CLOSERS else None
+        deeper = max((heights[o][-1] for o in _OPENS.get(ch, "") if heights[o]), default=None) if ch in _CLOSERS else None
         if deeper is not None and ch != '"':
-            pairs[i] = stack[deeper][1]
-            del stack[deeper:]
+            pair(i, deeper)
         elif ch in CLOSES and not (ch == '"' and i and text[i - 1].isalnum()):
+            heights[ch].append(len(stack))
             stack.append((ch, i))
     places, depths, level = [], [], 0
     for i, step in sorted([(o, 1) for o in pairs.values()] + [(c, -1) for c in pairs]):
@@ -234,6 +252,11 @@ def _cuts(text: str, script: str, case: str) -> Iterator[int]:
                 yield m.start()
         return
     rules = _compiled(script, case)
+    addresses = _addresses(text)
+
+    def in_address(i: int) -> bool:
+        return any((k := bisect_right(firsts, i) - 1) >= 0 and i <= lasts[k] for firsts, lasts in addresses)
+
     start, last = 0, len(text.rstrip()) - 1
     for m in _CANDIDATE.finditer(text):
         end = m.end()
@@ -256,7 +279,9 @@ def _cuts(text: str, script: str, case: str) -> Iterator[int]:
             return
         # Rules look at bounded surroundings, so a text costs time in proportion to its length.
         tail, head = text[max(start, end - 60) : end], text[end : end + 120]
-        for cut, ahead, behind, whole in rules:
+        for cut, ahead, behind, whole, inside in rules:
+            if inside and not in_address(end):
+                continue
             if ahead is not None and (not ahead.match(tail) if not whole else end - start > 60 or not ahead.match(tail)):
                 continue
             if behind is not None and not behind.match(head):

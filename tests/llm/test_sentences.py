@@ -68,3 +68,16 @@ def test_table(spark):
     got = [(r.doc_id, r.sentence, r.start_pos, r.end_pos, r.sentence_text) for r in split_sentences(df).orderBy("doc_id", "sentence").collect()]
     assert got == [(None, 1, 1, 4, "A b."), (1, 1, 1, 3, "Hi."), (1, 2, 5, 8, "You."), (4, 1, 1, 5, "🦊 Hi."), (4, 2, 7, 9, "Yes")]
     assert split_sentences(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("n", [10, 100, 5000])
+def test_long_addresses_stay_whole(n):
+    path = "a/" * n
+    for address in (f"https://a.example/{path}x?Query=1.Next", f"www.a.example/{path}x?Query", f"{'a' * n}@{'b.' * n}Example"):
+        assert cut(f"See {address} for now. It is long.") == [f"See {address} for now.", "It is long."]
+
+
+@pytest.mark.parametrize("n", [3, 9, 500])
+def test_quotations_over_many_open_marks(n):
+    quote = "“Look. " + "( " * n + "Then go. Now.”"
+    assert cut(f"He said: {quote} She left.") == [f"He said: {quote}", "She left."]
