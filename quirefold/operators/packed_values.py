@@ -30,7 +30,7 @@ DELIMITER = r"[,;/|&+、，；／｜＆\n\r\t]|(?<=\s)(?:and|AND)(?=\s)"
 _DELIMITER = re.compile(DELIMITER)
 _LIST = re.compile(r'^\s*\[\s*(".*")\s*\]\s*$', re.S)
 _QUOTED = re.compile(r'"(?:[^"\\]|""|\\.)*"', re.S)
-#: A value may contain at most this many delimiters itself; a span with more is split somewhere.
+#: A value that is seen nowhere else in the column may contain at most this many delimiters itself.
 MAX_INNER = 2
 #: The shapes of values are counted in so many hashed classes: the table sent to the tasks has this size.
 SHAPES = 4096
@@ -115,6 +115,49 @@ def lattice(raw: str, max_inner: int = MAX_INNER) -> list[tuple[int, int, str, i
     return arcs
 
 
+def _spans(raw: str) -> list[dict]:
+    """Where each piece of a field stands, its text, and how many pieces from it on could be of one value."""
+    found, reach, out = pieces(raw), 0, []
+    for a, b in reversed(found):
+        text = raw[a:b].strip()
+        reach = 0 if not text or text.startswith('"') else reach + 1
+        out.append(dict(start=a, stop=b, text=text, reach=reach))
+    return out[::-1]
+
+
+def _long_arcs(marked: DataFrame, is_sure, max_inner: int) -> DataFrame:
+    """Arcs of more than ``max_inner`` delimiters whose value occurs in another field too: raw, n, start, stop, val, shape.
+
+    A value is looked for wherever its first piece stands, so no field is cut into all its spans.
+    """
+
+    @F.pandas_udf("array<struct<start:int,stop:int,text:string,reach:int>>")
+    def spans_of(raws: pd.Series) -> pd.Series:
+        return raws.map(_spans)
+
+    @F.pandas_udf("int")
+    def shapes_of(values: pd.Series) -> pd.Series:
+        return values.map(shape_of)
+
+    # Values of their own: whole fields, and what stands in quotation marks in fields without a choice.
+    whole = marked.where(~is_sure).select("raw", F.trim("raw").alias("val"))
+    quoted = marked.where(is_sure).select("raw", F.explode("arcs.val").alias("val"))
+    sources = whole.unionByName(quoted).distinct()
+    spans = sources.select("val").distinct().withColumn("spans", spans_of("val"))
+    known = spans.where((F.size("spans") > max_inner + 1) & (F.col("spans")[0]["reach"] == F.size("spans")))
+    known = cut_lineage(known.select("val", F.size("spans").alias("k"), F.col("spans")[0]["text"].alias("text")))
+    fields = marked.where(~is_sure).select("raw", "n", spans_of("raw").alias("spans")).select("raw", "n", F.posexplode("spans").alias("start", "s")).where(F.col("s.reach") > max_inner + 1)
+    met = fields.select("raw", "n", "start", F.col("s.start").alias("at"), "s.reach", "s.text").join(known, "text").where(F.col("k") <= F.col("reach"))
+    # Only blanks may stand before the first piece; the value follows as it is, and ends where its last piece does.
+    body = F.regexp_replace(F.substring(F.col("raw"), F.col("at") + 1, F.length("raw")), r"^[\s\p{Z}]+", "")
+    after = F.substring(body, F.length("val") + 1, F.length(body))
+    ends = (F.regexp_replace(after, r"[\s\p{Z}]+", "") == "") | after.rlike(r"(?s)^[ \u00a0]*[,;/|&+、，；／｜＆\n\r\t]|^\s+(?:and|AND)\s")
+    met = cut_lineage(met.where(body.startswith(F.col("val")) & ends).select("raw", "n", F.col("start").cast("int").alias("start"), (F.col("start") + F.col("k")).cast("int").alias("stop"), "val"))
+    seen = met.select("raw", "val").unionByName(sources.join(known.select("val"), "val", "left_semi").select("raw", "val"))
+    often = seen.distinct().groupBy("val").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("val")
+    return met.join(often, "val", "left_semi").select("raw", "n", "start", "stop", "val", shapes_of("val").alias("shape"))
+
+
 def _log_probability(value: str, shape: int, count: float, total: float, shapes: np.ndarray) -> float:
     """Interpolates the learned frequency of a value with that of its shape."""
     if not value:
@@ -192,6 +235,7 @@ def split_packed(values: DataFrame, raw: str, rounds: int = 2, max_inner: int =
     lattices = marked.where(~is_sure)
     known = sure.select("n", F.explode("arcs").alias("a")).select("n", F.col("a.val").alias("val"), F.col("a.shape").alias("shape")).where("val <> ''")
     arcs = lattices.select("raw", "n", F.explode("arcs").alias("a")).select("raw", "n", "a.*")
+    arcs = cut_lineage(arcs.unionByName(_long_arcs(marked, is_sure, max_inner)))
 
     first_shapes = _shape_counts(known)
     learned = known.groupBy("val").agg(F.sum("n").alias("count"))

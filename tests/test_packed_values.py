@@ -50,3 +50,12 @@ def test_lattice_is_linear():
     raw = ", ".join("ab" for _ in range(2000))
     assert len(pieces(raw)) == 2000 and len(lattice(raw)) <= 3 * 2000
     assert clean_value(' "a ""b"" c" ') == 'a "b" c'
+
+
+def test_long_names_seen_elsewhere_stay_whole(spark):
+    """A name with three inner delimiters or more is a value where it occurs elsewhere in the column."""
+    firm, longer = "Hart, Vance & Sons, Inc.", "Low, Hill, Marsh, Wood & Field, Ltd."
+    rows = corpus() + [(1, f'"{firm}"'), (2, firm), (3, f"Ann Roe; {firm}"), (4, f"{firm}; Bo Poe"), (5, f'"{longer}"'), (6, f"Bo Poe; {longer}; Cy Doe"), (7, "Ann Roe, Bo Poe, Cy Doe, Ann Poe")]
+    got = split(spark, [(i, v, None, None, None) for i, v in rows])
+    want = {1: [firm], 2: [firm], 3: ["Ann Roe", firm], 4: [firm, "Bo Poe"], 5: [longer], 6: ["Bo Poe", longer, "Cy Doe"], 7: ["Ann Roe", "Bo Poe", "Cy Doe", "Ann Poe"]}
+    assert {i: [v for _, v in got[i, "writers"]] for i in want} == want
