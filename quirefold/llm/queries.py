@@ -12,7 +12,7 @@ from quirefold.llm.names import link_names, linked_pairs
 from quirefold.llm.pieces import split_pages
 from quirefold.llm.sentences import split_sentences
 from quirefold.llm.tokenize import token_ids
-from quirefold.llm.tomes import pack_chapters
+from quirefold.llm.tomes import pack_chapters, unused_space
 from quirefold.operators.packed_values import explode_packed
 from quirefold.session import table
 
@@ -47,6 +47,11 @@ def p3_tomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_chapters(table(spark, sf_dir, "encoded_pages"), table(spark, sf_dir, "profiles"))
 
 
+def p3_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the tomes of each book are, beside the fewest that could do."""
+    return unused_space(p3_tomes(spark, sf_dir))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chapters that the packing had to route to the oversized tier."""
     return p3_tomes(spark, sf_dir).where("tier = 0").select("book_id", "chapter").distinct()
@@ -108,6 +113,7 @@ QUERIES = {
     "p2_restored": p2_restored,
     "p3_found": p3_found,
     "p3_tomes": p3_tomes,
+    "p3_unused": p3_unused,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,

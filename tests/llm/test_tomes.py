@@ -4,7 +4,7 @@ import math
 import random
 from collections import defaultdict
 
-from quirefold.llm.tomes import deal, divide, pack, pack_chapters, tier_of
+from quirefold.llm.tomes import Shelf, best_filling, deal, divide, pack, pack_chapters, tier_of, unused_space
 
 ENC = "enc_id long, book_id string, profile string, chapter string, chapter_ord int, page_ord int, sub_ord int, n_bytes long, loaded_at timestamp, weight int, capacity int, salt int, b string, c string"
 PROFILES = "code string, tome_bytes long"
@@ -32,6 +32,31 @@ def test_pack_is_tight():
         assert len(tomes) <= math.ceil(11 * least / 9) + 2 or len(tomes) <= sum(w > 50 for w, _ in items) + 2
 
 
+def fullest_first(weights, capacity):
+    """Number of tomes of plain best fit, longest first."""
+    rooms = []
+    for w in sorted(weights, reverse=True):
+        fits = [r for r in rooms if r >= w]
+        if fits:
+            rooms.remove(min(fits))
+        rooms.append((min(fits) if fits else capacity) - w)
+    return len(rooms)
+
+
+def test_gaps_are_filled_from_shorter_tiers():
+    # Best fit puts 30 beside 55 and then needs a third tome; two shorter ones fill the gap to the last.
+    weights = [55, 52, 30, 25, 20, 18]
+    tomes = pack([(w, f"{w}") for w in weights], 100)
+    assert sorted(sorted(int(x) for x in t) for t in tomes) == [[18, 30, 52], [20, 25, 55]] and fullest_first(weights, 100) == 3
+    assert best_filling(Shelf([(5, "a"), (7, "b"), (9, "c")]), 12) == [1, 0] and best_filling(Shelf([(5, "a"), (5, "b"), (5, "c")]), 15) == [2, 1, 0] and best_filling(Shelf([(5, "a")]), 4) == []
+    rng = random.Random(5)
+    ours = plain = 0
+    for _ in range(200):
+        weights = [rng.randrange(1, 70) for _ in range(rng.randrange(3, 60))]
+        ours, plain = ours + len(pack([(w, f"{k:03}") for k, w in enumerate(weights)], 100)), plain + fullest_first(weights, 100)
+    assert ours <= plain
+
+
 def test_step_groups_are_balanced():
     rng = random.Random(2)
     loads = [rng.randrange(1, 100) for _ in range(64)]
@@ -67,7 +92,10 @@ def test_hot_book_in_salted_groups(spark):
     for r in out:
         loads[r.tome] += r.weight
     assert max(loads.values()) <= 100 and sum(loads.values()) == sum(r[7] for r in rows)
-    assert len(loads) <= 1.25 * math.ceil(sum(loads.values()) / 100) + 12
+    assert len(loads) <= fullest_first([r.weight for r in out], 100) + 12
+    assert set(loads) == set(range(1, len(loads) + 1))
+    told = unused_space(spark.createDataFrame(out)).collect()[0]
+    assert told.n_tomes == len(loads) >= told.fewest and len(loads) <= 1.1 * told.fewest + 12 and 0 <= told.unused < 0.25
 
 
 def test_hot_chapter_in_blocks(spark):
@@ -76,3 +104,10 @@ def test_hot_chapter_in_blocks(spark):
     assert [r.piece for r in out] == list(range(1, len(out) + 1)) and {r.n_pieces for r in out} == {len(out)}
     assert out[0].first_page == 0 and out[-1].last_page == 399 and all(b.first_page == a.last_page + 1 for a, b in zip(out, out[1:]))
     assert all(r.weight <= 100 for r in out)
+
+
+def test_blocks_go_by_count(spark):
+    """Equal and missing page numbers don't keep a chapter together."""
+    rows = [(k, "B", "A", "1", 1, None if k % 2 else 7, 0, 30, None, 1, 1, 1, "b", "c") for k in range(300)]
+    out = pack_chapters(spark.createDataFrame(rows, ENC), spark.createDataFrame([("A", 100)], PROFILES), group_pages=40).collect()
+    assert sum(r.weight for r in out) == 9000 and all(r.weight <= 100 for r in out) and len(out) == 7 * 14 + 7
