@@ -81,9 +81,9 @@ def cut_page(height: int, panels, limit: int, overlap: int) -> list[dict]:
     spans = spans_of(panels if panels is not None else [], height)
     share, block = max(0, min(overlap or 0, limit - 1)), max(1, limit // BLOCKS)
     open_ = np.array(gutters(spans, height), dtype=np.int64).reshape(-1, 2)
-    # The curve bends where a block's edge meets a panel's; between, and along gutters, it is sampled.
+    # The curve bends where a block's edge meets a panel's; inside panels and along gutters it is sampled.
     edges = spans.ravel()
-    bends = [edges + d for d in (-block, 0, block)]
+    bends = [edges - block, edges, edges + block, spans.sum(1) // 2]
     ends = [open_.ravel(), open_.sum(1) // 2]
     cuts = np.unique(np.concatenate([*bends, *ends, np.arange(0, height, max(1, block // SAMPLES))]))
     cuts = cuts[(cuts >= 0) & (cuts <= height)]
