@@ -42,6 +42,10 @@ PRIOR = 25.0
 KNOWN = 0.6
 #: Weight of the prior in the expected count of a pair, as a share of all pairs.
 RARE = 1e-5
+#: Mutual information below which a pair is improbable, and that for the rest of a value that is known to be garbled.
+STRICT, SUSPECT = -1.0, 1.5
+#: How much less likely (natural logarithm) cleaner counts must make a run for it to be looked at again.
+FELL = 0.25
 _LOST = re.compile(r"[�\x80-\x84\x86-\x9f]|[^\W\d_]\?[^\W\d_]")
 _GONE = re.compile(r"[�\x80-\x84\x86-\x9f]")
 _ODD = re.compile(r"[^\x00-\x7f]|[^\W\d_]\?[^\W\d_]")
@@ -49,40 +53,38 @@ _WIDE = re.compile(r"[^\x00-\x7f]+")
 NOT_ASCII_JVM = r"[^\x00-\x7f]|\p{L}\?\p{L}"
 
 
+_MULTIBYTE = ("cp932", "gbk")
+_WIDE_CODECS = frozenset(("utf_8", "euc_jp", "big5", "euc_kr", *_MULTIBYTE))
+
+
 @lru_cache(maxsize=64)
-def _bytes_of(codec: str) -> dict[str, int]:
-    """Characters of a single-byte codec; bytes it leaves undefined stand for control characters, as readers take them."""
-    out = {}
+def _table_of(codec: str) -> str:
+    """The characters of a single-byte codec; bytes it leaves undefined stand for control characters, as readers take them."""
+    out = []
     for b in range(256):
         try:
-            ch = bytes([b]).decode(codec)
+            out.append(bytes([b]).decode(codec))
         except UnicodeDecodeError:
-            ch = chr(b)
-        if len(ch) == 1:
-            out.setdefault(ch, b)
-    return out
+            out.append(chr(b))
+    return "".join(out)
 
 
-def misread(text: str, read_as: str) -> bytes | None:
-    """The bytes of a text that was read with a codec; None if it can't have been."""
-    return (_misread if len(text) <= LONGEST_RUN else _misread.__wrapped__)(text, read_as)
+@lru_cache(maxsize=64)
+def _made_by(codec: str) -> frozenset[str]:
+    return frozenset(_table_of(codec))
 
 
-@lru_cache(maxsize=4096)
-def _misread(text: str, read_as: str) -> bytes | None:
-    if read_as in ("cp932", "gbk"):
-        try:
-            return text.encode(read_as)
-        except UnicodeEncodeError:
-            return None
-    table = _bytes_of(read_as)
-    out = bytearray()
-    for ch in text:
-        b = table.get(ch)
-        if b is None:
-            return None
-        out.append(b)
-    return bytes(out)
+@lru_cache(maxsize=64)
+def _encoder(codec: str):
+    return codecs.charmap_build(_table_of(codec))
+
+
+def misread(text: str, read_as: str) -> bytes | None:
+    """The bytes of a text that was read with a codec; None if it can't have been."""
+    try:
+        return text.encode(read_as) if read_as in _MULTIBYTE else codecs.charmap_encode(text, "strict", _encoder(read_as))[0]
+    except UnicodeEncodeError:
+        return None
 
 
 def inverse(text: str, read_as: str, written_in: str) -> str | None:
@@ -120,23 +122,25 @@ class PairModel:
     def __init__(self, pairs: np.ndarray, singles: np.ndarray):
         self.pairs, self.singles = pairs, singles
         self.total = float(max(1.0, singles.sum()))
-        self.cache: dict[tuple[str, str], tuple[float, float]] = {}
+        self.cache: dict[tuple[str, str], tuple[float, float, bool]] = {}
         self.seen: dict[str, bool] = {}
-        self.options: dict[tuple[str, str, str], dict] = {}
+        self.bytes: dict[str, bytes] = {}
+        self.words: dict[tuple[str, str, str], dict] = {}
 
-    def score(self, a: str, b: str) -> tuple[float, float]:
-        """Mutual information of a pair, shrunk where counts are small, and the log probability of b after a."""
+    def score(self, a: str, b: str) -> tuple[float, float, bool]:
+        """Mutual information of a pair, shrunk where counts are small, the log probability of b after a, and whether the corpus has the pair."""
         found = self.cache.get((a, b))
         if found is None:
             both = float(self.pairs[_hash(a + b) % PAIRS])
             left, right = float(self.singles[_hash(a) % SINGLES]), float(self.singles[_hash(b) % SINGLES])
             expected = left * right / self.total
-            information = math.log((both + 0.01) / (expected + RARE * self.total + 0.5))
+            # The text at hand is itself one of those counted, and no evidence for what it holds.
+            information = math.log((max(0.0, both - 1.0) + 0.01) / (expected + RARE * self.total + 0.5))
             alone = (right + 0.02) / (self.total + 2000.0)
             likely = math.log((max(0.0, both - 0.5) + PRIOR * alone) / (left + PRIOR))
             if len(self.cache) > 500_000:
                 self.cache.clear()
-            self.cache[a, b] = found = (information, likely)
+            self.cache[a, b] = found = (information, likely, both > 0)
         return found
 
     def has(self, ch: str) -> bool:
@@ -148,13 +152,40 @@ class PairModel:
 
     def known(self, text: str, before: str, after: str) -> float:
         """Share of the characters beyond ASCII, and of the pairs with one, that the corpus has; the lesser of the two."""
-        whole = before + text + after
-        wide = [(a, b) for a, b in zip(whole, whole[1:]) if a >= "\x80" or b >= "\x80"]
         own = [c for c in text if c >= "\x80"]
         singles = sum(map(self.has, own)) / len(own) if own else 1.0
         if singles < KNOWN:
             return singles
-        return min(singles, sum(self.pairs[_hash(a + b) % PAIRS] > 0 for a, b in wide) / max(1, len(wide)))
+        whole = before + text + after
+        met = [self.score(a, b)[2] for a, b in zip(whole, whole[1:]) if a >= "\x80" or b >= "\x80"]
+        return min(singles, sum(met) / max(1, len(met)))
+
+    def kinds(self, codec: str) -> bytes:
+        """For each byte of a single-byte codec: 0 ASCII, 1 a character the corpus lacks, 2 one it has, 3 no legible character."""
+        found = self.bytes.get(codec)
+        if found is None:
+            out = bytearray()
+            for b in range(256):
+                try:
+                    ch = bytes([b]).decode(codec)
+                except UnicodeDecodeError:
+                    out.append(3)
+                    continue
+                out.append(3 if not _legible(ch) else 0 if ch < "\x80" else 2 if self.has(ch) else 1)
+            self.bytes[codec] = found = bytes(out)
+        return found
+
+    def refuses(self, raw: bytes, written_in: str) -> bool:
+        """Whether some bytes, written in a single-byte codec, hold what isn't legible or too much that the corpus lacks."""
+        if written_in in _WIDE_CODECS:
+            return False
+        kinds = raw.translate(self.kinds(written_in))
+        wide, own = len(kinds) - kinds.count(0), kinds.count(2)
+        return kinds.count(3) > 0 or own < KNOWN * wide
+
+    def suspect(self, text: str) -> bool:
+        """Whether a text has a pair beyond ASCII that is not clearly at home in the corpus."""
+        return any(self.score(a, b)[0] < SUSPECT for a, b in zip(text, text[1:]) if a >= "\x80" or b >= "\x80")
 
     def likelihood(self, text: str, before: str, after: str) -> float:
         """Log probability of a text between two characters."""
@@ -184,15 +215,15 @@ def max_segments(scores: Sequence[float]) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b, _, _ in kept]
 
 
-def improbable_runs(text: str, model: PairModel) -> list[tuple[int, int]]:
-    """Stretches of words that hold a maximum-scoring segment of improbable pairs."""
+def improbable_runs(text: str, model: PairModel, least: float = STRICT) -> list[tuple[int, int]]:
+    """Stretches of words that hold a maximum-scoring segment of improbable pairs: those whose mutual information is below ``least``."""
     if not _ODD.search(text):
         return []
     padded = " " + text + " "
     scores = []
     for a, b in zip(padded, padded[1:]):
         plain = a < "\x80" and b < "\x80"
-        scores.append(-0.3 if plain else max(-2.0, min(2.0, -1.0 - model.score(a, b)[0])))
+        scores.append(-0.3 if plain else max(-2.0, min(2.0, least - model.score(a, b)[0])))
     runs: list[list[int]] = []
     for start, stop in max_segments(scores):
         a, b = max(0, start - 1), min(len(text), stop)
@@ -225,24 +256,79 @@ def _gain(part: str, out: str, before: str, after: str, model: PairModel) -> flo
     return model.likelihood(out, before, after) - model.likelihood(part, before, after) - MARGIN_EACH * changed - MARGIN
 
 
-def _mapped(part: str, read_as: str, written_in: str, before: str, after: str, model: PairModel) -> tuple[float, str]:
-    """Gain and result of a mapping on one part; UTF-8 that was misread more than once is unwound."""
+def _readings(part: str) -> list[tuple[bytes, list[str]]]:
+    """The bytes that a part may have been, each with the codecs that read them so; codecs mostly agree."""
     odd = {c for c in part if c >= "\x80"}
-    best = (0.0, part)
     if not odd or odd <= LOOK_ALIKES:
-        return best
-    out: str | None = part
-    for _ in range(3 if written_in == "utf_8" else 1):
-        out = inverse(out, read_as, written_in)
-        if out is None:
-            break
-        best = max(best, (_gain(part, out, before, after, model), out))
+        return []
+    found: dict[bytes, list[str]] = {}
+    for read_as in READ_AS:
+        raw = misread(part, read_as)
+        if raw is not None:
+            found.setdefault(raw, []).append(read_as)
+    return list(found.items())
+
+
+def _outcomes(part: str, before: str, after: str, model: PairModel) -> dict[tuple[str, str], tuple[float, str]]:
+    """The mappings that gain on a part, with what they make of it.
+
+    Each distinct result is judged once, however many mappings lead to it; UTF-8 that was misread more
+    than once is unwound.  Words repeat, so what was found for them is kept.
+    """
+    key = (part, before, after)
+    kept = model.words.get(key)
+    if kept is not None:
+        return kept
+    if not model.suspect(before + part + after):
+        model.words[key] = {}
+        return {}
+    gains: dict[str, float] = {}
+
+    def gain_of(out: str) -> float:
+        if out not in gains:
+            gains[out] = _gain(part, out, before, after, model)
+        return gains[out]
+
+    best: dict[tuple[str, str], tuple[float, str]] = {}
+    for raw, codecs_ in _readings(part):
+        for written_in in WRITTEN_IN:
+            if model.refuses(raw, written_in):
+                continue
+            try:
+                out = raw.decode(written_in)
+            except UnicodeDecodeError:
+                continue
+            if out == part:
+                continue
+            for read_as in codecs_:
+                if read_as == written_in:
+                    continue
+                top = (gain_of(out), out)
+                again = inverse(out, read_as, written_in) if written_in == "utf_8" else None
+                while again is not None:
+                    top = max(top, (gain_of(again), again))
+                    again = inverse(again, read_as, written_in)
+                if top[0] > 0:
+                    best[read_as, written_in] = top
+    if len(part) <= LONGEST_RUN:
+        if len(model.words) > 200_000:
+            model.words.clear()
+        model.words[key] = best
     return best
 
 
 def _parts(run: str, read_as: str) -> list[str]:
     """The words of a run with the blanks between them, or the stretches that the codec can and can't have made."""
-    return (_kept_parts if len(run) <= LONGEST_RUN else _kept_parts.__wrapped__)(run, read_as)
+    if " " in run:
+        return re.split(r"(\s+)", run)
+    made, parts, at = _made_by(read_as), [], 0
+    while at < len(run):
+        stop = at
+        while stop < len(run) and (run[stop] in made) == (run[at] in made):
+            stop += 1
+        parts.append(run[at:stop])
+        at = stop
+    return parts
 
 
 def _block_end(run: str, at: int, read_as: str, written_in: str) -> int:
@@ -274,116 +360,136 @@ def _blocks(run: str, read_as: str, written_in: str) -> list[str]:
     return out
 
 
-@lru_cache(maxsize=4096)
-def _kept_parts(run: str, read_as: str) -> list[str]:
-    if " " in run:
-        return re.split(r"(\s+)", run)
-    table = _bytes_of(read_as)
-    parts, at = [], 0
-    while at < len(run):
-        stop = at
-        while stop < len(run) and (run[stop] in table) == (run[at] in table):
-            stop += 1
-        parts.append(run[at:stop])
-        at = stop
-    return parts
+def _pieces(run: str, read_as: str, written_in: str) -> list[str]:
+    """What a mapping is tried on if the run as a whole gives nothing: blocks of a long run, else words or stretches."""
+    return _blocks(run, read_as, written_in) if len(run) > LONGEST_RUN else _parts(run, read_as)
 
 
-def _apply(run: str, read_as: str, written_in: str, before: str, after: str, model: PairModel) -> tuple[float, str]:
-    """A mapping on a whole run, else on its blocks, else on its words, else on the stretches that the codec can have made."""
-    whole = _mapped(run, read_as, written_in, before, after, model)
-    if whole[0] > 0:
-        return whole
-    if len(run) > LONGEST_RUN:
-        total, out, left = 0.0, [], 0
-        for block in _blocks(run, read_as, written_in):
-            right = left + len(block)
-            gain, new = (0.0, block) if block.isascii() else _apply(block, read_as, written_in, run[left - 1] if left else before, run[right] if right < len(run) else after, model)
-            total += gain
-            out.append(new)
-            left = right
-        return total, "".join(out)
-    parts = _parts(run, read_as)
-    if len(parts) < 2:
-        return 0.0, run
-    total, out, left = 0.0, [], 0
+def _placed(run: str, parts: list[str], before: str, after: str) -> list[tuple[str, str, str]]:
+    """Parts with the characters beside them."""
+    out, left = [], 0
     for part in parts:
         right = left + len(part)
-        if part.isascii():
-            out.append(part)
-            left = right
-            continue
-        gain, new = _mapped(part, read_as, written_in, run[left - 1] if left else before, run[right] if right < len(run) else after, model)
-        total += gain
-        out.append(new)
+        out.append((part, run[left - 1] if left else before, run[right] if right < len(run) else after))
         left = right
-    return total, "".join(out)
+    return out
 
 
-def _options(run: str, before: str, after: str, model: PairModel) -> dict[tuple[str, str], tuple[float, str]]:
-    """The mappings that gain on a run; runs repeat, so they are kept."""
-    key = (run, before, after)
-    found = model.options.get(key)
-    if found is None:
-        found = {}
-        for read_as in READ_AS:
-            if not _readable(run, read_as):
+def _options(run: str, before: str, after: str, model: PairModel, only: set[tuple[str, str]] | None = None) -> dict[tuple[str, str], float]:
+    """The mappings (of those in ``only``) that gain on a run, as a whole or else on its parts, and how much."""
+    if only is not None:
+        gains = {}
+        for mapping in only:
+            whole = _outcomes(run, before, after, model).get(mapping)
+            parts = [] if whole else _placed(run, _pieces(run, *mapping), before, after)
+            inner = [_outcomes(p, x, y, model).get(mapping, (0.0,))[0] for p, x, y in parts if len(parts) > 1 and not p.isascii()]
+            gain = whole[0] if whole else sum(inner)
+            # A word that the mapping makes likelier counts here even if it misses the margin.
+            if gain > 0 or any(_eased(p, mapping, model) != p for p, _, _ in parts):
+                gains[mapping] = gain
+        return gains
+    found = {mapping: gain for mapping, (gain, _) in _outcomes(run, before, after, model).items()}
+    split: dict[tuple[str, ...], dict[tuple[str, str], float]] = {}
+    long = len(run) > LONGEST_RUN
+    for read_as in READ_AS:
+        if not _readable(run, read_as):
+            continue
+        for written_in in WRITTEN_IN if long else (None,):
+            parts = tuple(_pieces(run, read_as, written_in or ""))
+            if len(parts) < 2:
                 continue
-            for written_in in WRITTEN_IN:
-                if read_as != written_in:
-                    gain, new = _apply(run, read_as, written_in, before, after, model)
-                    if gain > 0:
-                        found[read_as, written_in] = (gain, new)
-        if len(run) > LONGEST_RUN:
-            return found
-        if len(model.options) > 50_000:
-            model.options.clear()
-        model.options[key] = found
+            totals = split.get(parts)
+            if totals is None:
+                totals = split[parts] = {}
+                for part, left, right in _placed(run, list(parts), before, after):
+                    if part.isascii():
+                        continue
+                    inner = _options(part, left, right, model) if long else {m: g for m, (g, _) in _outcomes(part, left, right, model).items()}
+                    for mapping, gain in inner.items():
+                        totals[mapping] = totals.get(mapping, 0.0) + gain
+            for mapping, gain in totals.items():
+                if mapping[0] == read_as and mapping[1] == (written_in or mapping[1]):
+                    found.setdefault(mapping, gain)
     return found
 
 
-def _sweep(rest: str, mapping: tuple[str, str], model: PairModel) -> str:
-    """The words that the mapping of a value doesn't make less likely, restored by it too."""
-    if not _WIDE.search(rest):
-        return rest
-    words = re.split(r"(\s+)", rest)
-    for k, word in enumerate(words):
-        new = inverse(word, *mapping) if _WIDE.search(word) and not {c for c in word if c >= "\x80"} <= LOOK_ALIKES else None
-        if new and _legible(new) and model.likelihood(new, " ", " ") > model.likelihood(word, " ", " "):
-            words[k] = new
-    return "".join(words)
+def _rewritten(run: str, mapping: tuple[str, str], before: str, after: str, model: PairModel) -> str:
+    """A run restored by a mapping: as a whole, else part by part; inside a run it also gets what it makes no less likely."""
+    whole = _outcomes(run, before, after, model).get(mapping)
+    if whole is not None:
+        return whole[1]
+    parts = _pieces(run, *mapping)
+    if len(parts) < 2:
+        return _eased(run, mapping, model)
+    out = []
+    for part, left, right in _placed(run, parts, before, after):
+        if part.isascii():
+            out.append(part)
+        elif len(run) > LONGEST_RUN:
+            out.append(_rewritten(part, mapping, left, right, model))
+        else:
+            known = _outcomes(part, left, right, model).get(mapping)
+            out.append(known[1] if known else _eased(part, mapping, model))
+    return "".join(out)
+
 
+def _eased(word: str, mapping: tuple[str, str], model: PairModel) -> str:
+    """A word of a run that the chosen mapping of its value makes likelier, though not by the margin; else the word."""
+    if not _WIDE.search(word) or {c for c in word if c >= "\x80"} <= LOOK_ALIKES:
+        return word
+    new = inverse(word, *mapping)
+    return new if new and _legible(new) and model.likelihood(new, " ", " ") > model.likelihood(word, " ", " ") else word
 
-def restore(text: str, model: PairModel, rounds: int = 4) -> tuple[str, bool]:
+
+def restore(text: str, model: PairModel) -> tuple[str, bool]:
     """The restored text, and whether the text was garbled, restorable or not.
 
-    In each round the mapping with the greatest total gain over all runs is applied where it gains.
+    In each round the mapping with the greatest total gain over all improbable runs is applied to them,
+    until none gains.  Then the mappings that were applied are tried on the runs that are improbable by
+    the lower standard for a value known to be garbled.  What lies outside the runs is never touched.
     """
-    first = text
-    for _ in range(rounds):
-        runs = improbable_runs(text, model)
-        options = [_options(text[a:b], text[a - 1] if a else " ", text[b] if b < len(text) else " ", model) for a, b in runs]
+    first, seen = text, {text}
+    used: set[tuple[str, str]] = set()
+    least = STRICT
+    while True:
+        runs = [(text[a:b], text[a - 1] if a else " ", text[b] if b < len(text) else " ", a, b) for a, b in improbable_runs(text, model, least)]
         totals: dict[tuple[str, str], float] = {}
-        for found in options:
-            for mapping, (gain, _) in found.items():
+        for run, before, after, _, _ in runs:
+            for mapping, gain in _options(run, before, after, model, used if least == SUSPECT else None).items():
                 totals[mapping] = totals.get(mapping, 0.0) + gain
-        if not totals:
+        mapping = max(totals, key=lambda m: (totals[m], m)) if totals else None
+        if mapping is None and (least == SUSPECT or not used):
             break
-        mapping = max(totals, key=lambda m: (totals[m], m))
+        if mapping is None:
+            least = SUSPECT
+            continue
+        used.add(mapping)
         out, at = [], 0
-        for (a, b), found in zip(runs, options):
-            out += [_sweep(text[at:a], mapping, model), found[mapping][1] if mapping in found else _sweep(text[a:b], mapping, model)]
+        for run, before, after, a, b in runs:
+            out += [text[at:a], _rewritten(run, mapping, before, after, model)]
             at = b
-        text = "".join([*out, _sweep(text[at:], mapping, model)])
+        text = "".join([*out, text[at:]])
+        if text in seen:
+            break
+        seen.add(text)
     return text, text != first or bool(_GONE.search(first))
 
 
+def restore_again(text: str, model: PairModel, earlier: PairModel) -> tuple[str, bool]:
+    """``restore`` of a text in which an earlier model found nothing, if a run has become less likely since."""
+    for a, b in improbable_runs(text, model):
+        beside = text[a - 1] if a else " ", text[b] if b < len(text) else " "
+        if model.likelihood(text[a:b], *beside) < earlier.likelihood(text[a:b], *beside) - FELL:
+            return restore(text, model)
+    return text, False
+
+
 def _readable(run: str, read_as: str) -> bool:
     """Whether a codec can have made some character beyond ASCII of a run."""
-    if read_as in ("cp932", "gbk"):
+    if read_as in _MULTIBYTE:
         return True
-    table = _bytes_of(read_as)
-    return any(c >= "\x80" and c in table and c not in LOOK_ALIKES for c in run)
+    made = _made_by(read_as)
+    return any(c >= "\x80" and c in made and c not in LOOK_ALIKES for c in run)
 
 
 def train(values: DataFrame, text: str) -> PairModel:
@@ -399,8 +505,8 @@ def train(values: DataFrame, text: str) -> PairModel:
             if t is None or looks_misread(t):
                 continue
             padded = " " + t + " "
-            for k in range(len(padded) - 1):
-                pair = padded[k : k + 2]
+            # A text is evidence for a pair once, however often it repeats it.
+            for pair in {padded[k : k + 2] for k in range(len(padded) - 1)}:
                 by_pair[pair] = by_pair.get(pair, 0.0) + 1.0
         for pair, n in by_pair.items():
             s = _hash(pair) % PAIRS
@@ -421,7 +527,8 @@ def restore_fields(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     """Garbled values: key, field_name, original, restored, changed; one row per garbled value.
 
     The model is counted over all values of all fields together, each distinct value once; a first
-    model restores the values that the second, final one is counted over.  Rows delivered twice
+    model restores the values that a second one is counted over, and what the cleaner counts make less
+    likely is looked at again.  Rows delivered twice
     count once.  Null, empty and pure ASCII values are never garbled.  Where nothing can be restored
     (bytes were lost) restored equals original and changed is false.
     """
@@ -429,34 +536,36 @@ def restore_fields(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     cells = stacked.select("row_key", "c.*").where("original <> ''").distinct()
     distinct = cut_lineage(cells.select("original").distinct())
     is_odd = F.col("original").rlike(NOT_ASCII_JVM)
-    model = train(distinct, "original")
-    mended = distinct.where(is_odd).select(_mender(model)("original").alias("m")).select("m.restored")
-    model = train(distinct.where(~is_odd).select(F.col("original").alias("restored")).unionByName(mended), "restored")
-    odd = distinct.where(is_odd).select("original", _mender(model)("original").alias("m")).where("m.garbled")
-    rows = cells.join(odd, "original").select("row_key", "field_name", "original", "m.restored")
+    first = train(distinct, "original")
+    mended = cut_lineage(distinct.where(is_odd).select("original", _mender(first)("original").alias("m")).select("original", "m.restored", "m.garbled"))
+    second = train(distinct.where(~is_odd).select(F.col("original").alias("restored")).unionByName(mended.select("restored")), "restored")
+    late = mended.where("not garbled").select("original", _mender(second, first)("original").alias("m")).where("m.garbled").select("original", "m.restored")
+    garbled = mended.where("garbled").select("original", "restored").unionByName(late)
+    rows = cells.join(garbled, "original").select("row_key", "field_name", "original", "restored")
     return rows.select(F.col("row_key").alias(key), "field_name", "original", "restored", (F.col("restored") != F.col("original")).alias("changed"))
 
 
-def _mender(model: PairModel):
-    """The restoring function of a model, which is broadcast: two tables of fixed size."""
-    shared = SparkSession.active().sparkContext.broadcast((model.pairs, model.singles))
+def _mender(model: PairModel, earlier: PairModel | None = None):
+    """The restoring function of a model, which is broadcast: tables of fixed size."""
+    shared = SparkSession.active().sparkContext.broadcast([(m.pairs, m.singles) for m in (model, earlier) if m])
 
     @F.pandas_udf("struct<restored:string,garbled:boolean>")
     def mend(texts: pd.Series) -> pd.DataFrame:
-        model = _shared_model(shared)
-        return pd.DataFrame([restore(t, model) for t in texts], columns=["restored", "garbled"])
+        model, *earlier = _shared_models(shared)
+        mended = [restore_again(t, model, *earlier) if earlier else restore(t, model) for t in texts]
+        return pd.DataFrame(mended, columns=["restored", "garbled"])
 
     # Not to be evaluated a second time for a filter on its result.
     return mend.asNondeterministic()
 
 
-_MODELS: dict[int, PairModel] = {}
+_MODELS: dict[int, list[PairModel]] = {}
 
 
-def _shared_model(shared) -> PairModel:
-    """The model of a broadcast, built once per worker."""
-    key = getattr(shared, "_jbroadcast_id", None) or id(shared.value[0])
+def _shared_models(shared) -> list[PairModel]:
+    """The models of a broadcast, built once per worker."""
+    key = getattr(shared, "_jbroadcast_id", None) or id(shared.value[0][0])
     if key not in _MODELS:
         _MODELS.clear()
-        _MODELS[key] = PairModel(*shared.value)
+        _MODELS[key] = [PairModel(*tables) for tables in shared.value]
     return _MODELS[key]

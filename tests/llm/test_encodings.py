@@ -67,7 +67,7 @@ def result(spark):
 def test_damage_is_found_and_undone(result):
     _, damaged, got = result
     found = [k for k in damaged if (k, "title") in got]
-    assert len(found) >= 0.9 * len(damaged)
+    assert len(found) >= 0.95 * len(damaged)
     right = sum(got[k, "title"].restored == damaged[k][0] for k in found)
     assert right >= 0.9 * len(damaged), [(damaged[k], got[k, "title"].restored) for k in found if got[k, "title"].restored != damaged[k][0]][:5]
 
@@ -89,7 +89,7 @@ def model():
     pairs, singles = np.zeros(E.PAIRS, np.float32), np.zeros(E.SINGLES, np.float32)
     for t in [*corpus(), *(t.replace(" ", "") for t in corpus())]:
         padded = f" {t} "
-        for a, b in zip(padded, padded[1:]):
+        for a, b in set(zip(padded, padded[1:])):
             pairs[E._hash(a + b) % E.PAIRS] += 1
             singles[E._hash(a) % E.SINGLES] += 1
     return E.PairModel(pairs, singles)
