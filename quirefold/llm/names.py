@@ -3,7 +3,9 @@
 Spellings are read into forms (titles, nicknames, abbreviations, order of the parts), forms become
 vectors of weighted character 4-grams, and a distributed join finds all pairs of forms whose cosine
 reaches a threshold: each form is posted under its rarest grams only, as many as it takes that no
-such pair can miss each other, and a pair is judged where its first common gram is posted.  An
+such pair can miss each other, and a pair is judged where its first common gram is posted, if the
+lengths of the vectors from there on allow the threshold at all.  The nearest names of each are the
+first of these; for linking none is left out, for what a top-n cuts off would be lost links.  An
 exact check of the parts then refuses pairs that contradict each other (two given names, two
 initials, a studio and a person).  The remaining pairs make components, and inside each component
 average-linkage clustering decides which forms belong together.  Small components are clustered by
@@ -20,21 +22,26 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirefold.session import cut_lineage
 
-#: Buckets of the hashed frequencies of grams and of words: tables of this size are sent to the tasks.
-GRAMS, WORDS = 1 << 18, 1 << 18
+#: Slots of the frequencies of grams and of words: tables of this size are sent to the tasks.  Grams themselves keep 31 bits
+#: of their hash, so slots that are shared touch weights only.
+GRAMS, WORDS, GRAM_BITS = 1 << 20, 1 << 20, (1 << 31) - 1
+#: Postings of a gram that one task pairs; more are paired in blocks by several.
+BLOCK = 2000
 #: Cosine from which two forms are compared, and average similarity from which clusters are merged.
 THRESHOLD, LINKAGE = 0.45, 0.42
 #: Forms of a component that one task clusters; larger components are clustered by all tasks, with the same result.
 COMPONENT = 1500
 #: Similarities are whole multiples of 1 / UNIT, so that their sums don't depend on the order.
 UNIT = 1 << 30
-#: Longer words are only compared for being equal.
-LONGEST_WORD = 80
+#: Share of the forms with a word that misspell it, at most, and how unlikely a count may be and still pass for that.
+SLIP_RATE, UNLIKELY = 1 / 6, 0.1
+#: Words are rare if no more forms have them than have the rarer words of this share.
+RARE_SHARE = 0.6
 
 # Words of names.
 TITLES = {"dr", "mr", "mrs", "ms", "prof", "sir", "dame", "st", "capt"}
@@ -117,10 +124,10 @@ def grams_of(form: str) -> tuple[int, ...]:
     for word in words:
         full = canon_names(word)[0]
         if full.startswith("="):
-            out.add(_stable(full) % GRAMS)
+            out.add(_stable(full) & GRAM_BITS)
             continue
         padded = f"^{full}$"
-        out.update(_stable(padded[k : k + 4]) % GRAMS for k in range(max(1, len(padded) - 3)))
+        out.update(_stable(padded[k : k + 4]) & GRAM_BITS for k in range(max(1, len(padded) - 3)))
     return tuple(sorted(out))
 
 
@@ -130,6 +137,8 @@ class Weights:
     def __init__(self, grams: np.ndarray, words: np.ndarray, n: int):
         self.idf = np.log1p(n / np.maximum(1.0, grams)).astype(np.float32)
         self.words = words
+        held = words[words > 0]
+        self.rare_count = float(np.quantile(held, RARE_SHARE)) if len(held) else 0.0
         self.vectors: dict[str, dict[int, float]] = {}
 
     def vector(self, form: str) -> dict[int, float]:
@@ -137,7 +146,7 @@ class Weights:
         found = self.vectors.get(form)
         if found is None:
             grams = grams_of(form)
-            raw = [float(self.idf[g]) for g in grams]
+            raw = [float(self.idf[g % GRAMS]) for g in grams]
             norm = math.sqrt(sum(w * w for w in raw)) or 1.0
             if len(self.vectors) > 100_000:
                 self.vectors.clear()
@@ -151,16 +160,21 @@ class Weights:
             x, y = y, x
         return sum(w * y[g] for g, w in x.items() if g in y)
 
-    def prefix(self, form: str, threshold: float) -> list[int]:
-        """The heaviest grams of a form, until what is left is too short to reach the threshold with any unit vector."""
+    def prefix(self, form: str, threshold: float) -> list[tuple[int, float]]:
+        """The rarest grams of a form with the length of the vector from each on.
+
+        They go on until what is left is too short to reach the threshold with any unit vector.  Vectors
+        share the order (their weights are the same numbers, scaled), so the lengths at the first gram
+        that two forms have in common bound their cosine.
+        """
         vector = self.vector(form)
         rest, out = 1.0, []
-        for gram in sorted(vector, key=lambda g: (-vector[g], g)):
+        for gram in sorted(vector, key=lambda g: (-self.idf[g % GRAMS], g)):
             if rest < (threshold - 1e-6) ** 2:
                 break
-            out.append(gram)
+            out.append((gram, math.sqrt(rest)))
             rest -= vector[gram] ** 2
-        return sorted(out)
+        return out
 
     def count(self, word: str) -> float:
         """How many forms have a word."""
@@ -175,29 +189,59 @@ class Weights:
                 return True
         if min(len(a), len(b)) < 4 or edits(a, b, 1) > 1:
             return False
-        few, many = sorted((self.count(a), self.count(b)))
-        return few <= 2 or many >= 5 * few
+        return self.passes(a, b, SLIP_RATE)
+
+    def passes(self, a: str, b: str, rate: float) -> bool:
+        """Whether the rarer of two words is no more frequent than slips of the other would make it.
+
+        A binomial test of its count among the forms with either word; it is the same at every size.
+        """
+        few, many = sorted((int(self.count(a)), int(self.count(b))))
+        return _tail(few, few + many, rate) >= UNLIKELY
+
+    def rare(self, word: str) -> bool:
+        """Whether a word is one of the rarer ones of the corpus."""
+        return self.count(word) <= self.rare_count
+
+
+@lru_cache(maxsize=100_000)
+def _tail(few: int, n: int, rate: float) -> float:
+    """Chance of ``few`` or more among ``n``; by the normal distribution where they are many."""
+    if few <= n * rate:
+        return 1.0
+    if n > 200:
+        return 0.5 * math.erfc((few - 0.5 - n * rate) / math.sqrt(2 * n * rate * (1 - rate)))
+    return sum(math.comb(n, k) * rate**k * (1 - rate) ** (n - k) for k in range(few, n + 1))
 
 
 @lru_cache(maxsize=200_000)
 def edits(a: str, b: str, limit: int) -> int:
-    """Insertions, deletions, substitutions and swaps of neighbours between two words; limit + 1 if more."""
+    """Insertions, deletions, substitutions and swaps of neighbours between two words; limit + 1 if more.
+
+    Only the band of ``limit`` beside the diagonal is looked at, so long words cost no more than their length.
+    """
     if a == b:
         return 0
-    if abs(len(a) - len(b)) > limit or len(a) > LONGEST_WORD:
+    if abs(len(a) - len(b)) > limit:
         return limit + 1
-    before: list[int] = []
-    last = list(range(len(b) + 1))
+    far = limit + 1
+    before: dict[int, int] = {}
+    last = {j: j for j in range(min(len(b), limit) + 1)}
     for i, ca in enumerate(a, 1):
-        row = [i] + [0] * len(b)
-        for j, cb in enumerate(b, 1):
-            row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (ca != cb))
+        row: dict[int, int] = {}
+        for j in range(max(0, i - limit), min(len(b), i + limit) + 1):
+            if not j:
+                row[0] = i
+                continue
+            cb = b[j - 1]
+            best = min(last.get(j, far) + 1, row.get(j - 1, far) + 1, last.get(j - 1, far) + (ca != cb))
             if i > 1 and j > 1 and ca == b[j - 2] and a[i - 2] == cb:
-                row[j] = min(row[j], before[j - 2] + 1)
-        if min(row) > limit:
-            return limit + 1
+                best = min(best, before.get(j - 2, far) + 1)
+            row[j] = best
+        if min(row.values()) > limit:
+            return far
         before, last = last, row
-    return min(last[-1], limit + 1)
+    return min(last[len(b)], far)
 
 
 def relation(a: str, b: str, weights: Weights) -> int:
@@ -242,10 +286,10 @@ def _persons(a: str, b: str, weights: Weights) -> int:
             long_a.remove(t)
             long_b.remove(twin)
     for t in list(long_a):
-        twin = next((u for u in long_b if min(len(t), len(u)) >= 4 and edits(t, u, 2) <= 2 and min(weights.count(t), weights.count(u)) <= 2), None)
+        twin = next((u for u in long_b if min(len(t), len(u)) >= 4 and edits(t, u, 2) <= 2 and weights.passes(t, u, SLIP_RATE)), None)
         if twin is not None:
             # Two slips of one long rare word, beside an equal given name, are still one name.
-            twice = bool(same) and not slips and min(len(t), len(twin)) >= 8 and max(weights.count(t), weights.count(twin)) <= 2
+            twice = bool(same) and not slips and min(len(t), len(twin)) >= 8 and weights.rare(t) and weights.rare(twin)
             slips, near = slips + twice, near + (not twice)
             long_a.remove(t)
             long_b.remove(twin)
@@ -377,12 +421,31 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
             return labels
 
 
-def link_names(spellings: DataFrame, name: str, threshold: float = THRESHOLD, least: float = LINKAGE) -> DataFrame:
-    """Spellings with the class they belong to: (spelling, entity), one row per distinct spelling.
+def _met(posted: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of forms that can reach the threshold, each once: where their first common gram is posted.
 
-    Null, empty and blank spellings give no row.  Spellings with the same form are always one class.
-    entity is the least form of the class.  A form with no letters or digits is a class of its own.
+    Postings of a frequent gram are dealt into blocks, and each pair of blocks is a key of its own.
     """
+    often = posted.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    dealt = posted.join(often, "gram", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("form"), "blocks").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    one = dealt.select("gram", F.col("own").alias("row"), every.alias("column"), F.col("form").alias("a"), "grams", "length", F.substring("form", 1, 1).alias("kind"))
+    two = dealt.select("gram", every.alias("row"), F.col("own").alias("column"), F.col("form").alias("b"), F.col("grams").alias("grams_b"), F.col("length").alias("length_b"), F.substring("form", 1, 1).alias("kind"))
+    near = (F.col("a") < F.col("b")) & (F.col("length") * F.col("length_b") >= threshold - 1e-6)
+    met = one.join(two, ["gram", "kind", "row", "column"]).where(near)
+    return met.where(F.get(F.array_intersect("grams", "grams_b"), F.lit(0)) == F.col("gram")).select("a", "b")
+
+
+def _grams(form: str) -> Column:
+    @F.pandas_udf("array<int>")
+    def grams(values: pd.Series) -> pd.Series:
+        return values.map(lambda f: list(grams_of(f)))
+
+    return grams(form)
+
+
+def _joined(spellings: DataFrame, name: str, threshold: float):
+    """Spellings with their forms, the links between forms with their cosine, the broadcast weights, and the number of forms."""
     spark = spellings.sparkSession
 
     @F.pandas_udf("string")
@@ -393,23 +456,19 @@ def link_names(spellings: DataFrame, name: str, threshold: float = THRESHOLD, le
     named = cut_lineage(distinct.withColumn("form", formed("spelling")))
     forms = cut_lineage(named.select("form").distinct())
 
-    @F.pandas_udf("array<int>")
-    def grams(values: pd.Series) -> pd.Series:
-        return values.map(lambda f: list(grams_of(f)))
-
     @F.pandas_udf("array<int>")
     def words(values: pd.Series) -> pd.Series:
         return values.map(lambda f: [_stable(w) % WORDS for w in f.split(" ")[1 if f[0] == "p" else 2 :]])
 
     n = forms.count()
-    by_gram = _table(forms.select(F.explode(grams("form")).alias("slot")), GRAMS)
+    by_gram = _table(forms.select(F.explode(_grams("form")).alias("gram")).select(F.pmod("gram", F.lit(GRAMS)).alias("slot")), GRAMS)
     by_word = _table(forms.select(F.explode(words("form")).alias("slot")), WORDS)
     shared = spark.sparkContext.broadcast((by_gram, by_word, n))
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("array<struct<gram:int,length:double>>")
     def prefixes(values: pd.Series) -> pd.Series:
         w = _weights(shared)
-        return values.map(lambda f: w.prefix(f, threshold))
+        return values.map(lambda f: [dict(gram=g, length=n) for g, n in w.prefix(f, threshold)])
 
     @F.pandas_udf("double")
     def judged(one: pd.Series, two: pd.Series) -> pd.Series:
@@ -420,12 +479,33 @@ def link_names(spellings: DataFrame, name: str, threshold: float = THRESHOLD, le
             out.append(c if c >= threshold and relation(a, b, w) > 0 else 0.0)
         return pd.Series(out)
 
-    posted = forms.select("form", prefixes("form").alias("grams")).select("form", "grams", F.explode("grams").alias("gram"))
+    posted = forms.select("form", prefixes("form").alias("p")).select("form", F.col("p.gram").alias("grams"), F.explode("p").alias("at")).select("form", "grams", "at.gram", "at.length")
     posted = cut_lineage(posted)
-    other = posted.select(F.col("form").alias("form_b"), F.col("grams").alias("grams_b"), F.col("gram").alias("gram_b"))
-    met = posted.join(other, (F.col("gram") == F.col("gram_b")) & (F.col("form") < F.col("form_b")) & (F.substring("form", 1, 1) == F.substring("form_b", 1, 1)))
-    first = met.where(F.array_min(F.array_intersect("grams", "grams_b")) == F.col("gram")).select(F.col("form").alias("a"), F.col("form_b").alias("b"))
-    edges = cut_lineage(first.withColumn("cosine", judged("a", "b")).where("cosine > 0"))
+    edges = cut_lineage(_met(posted, threshold).withColumn("cosine", judged("a", "b")).where("cosine > 0"))
+    return named, edges, shared, n
+
+
+def nearest_names(spellings: DataFrame, name: str, top: int = 10, threshold: float = THRESHOLD) -> DataFrame:
+    """The ``top`` forms most similar to the form of each spelling, of those it is linked to: (spelling, place, other, cosine).
+
+    The join is exact, so these are the true nearest; of equally similar ones the least comes first.
+    Spellings without a link, null and blank ones give no row.
+    """
+    named, edges, _, _ = _joined(spellings, name, threshold)
+    both = edges.select(F.col("a").alias("form"), F.col("b").alias("other"), "cosine").unionByName(edges.select(F.col("b").alias("form"), F.col("a").alias("other"), "cosine"))
+    ranked = both.withColumn("place", F.row_number().over(Window.partitionBy("form").orderBy(F.col("cosine").desc(), "other"))).where(F.col("place") <= top)
+    return named.join(ranked, "form").select("spelling", "place", "other", "cosine")
+
+
+def link_names(spellings: DataFrame, name: str, threshold: float = THRESHOLD, least: float = LINKAGE) -> DataFrame:
+    """Spellings with the class they belong to and how many forms theirs is linked to: (spelling, entity, n_links), one row per distinct spelling.
+
+    Null, empty and blank spellings give no row.  Spellings with the same form are always one class.
+    entity is the least form of the class.  A form with no letters or digits is a class of its own.
+    """
+    spark = spellings.sparkSession
+    named, edges, shared, n = _joined(spellings, name, threshold)
+    links = edges.select(F.explode(F.array("a", "b")).alias("form")).groupBy("form").agg(F.count(F.lit(1)).alias("n_links"))
 
     labels = cut_lineage(components(edges))
     sizes = labels.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
@@ -451,13 +531,14 @@ def link_names(spellings: DataFrame, name: str, threshold: float = THRESHOLD, le
             w = _weights(shared)
             return pd.Series([similarity(a, b, w) for a, b in zip(one, two)], dtype="int64")
 
-        spread = large.select("root", F.col("node").alias("a"), grams("node").alias("grams")).select("*", F.explode("grams").alias("gram"))
+        spread = large.select("root", F.col("node").alias("a"), _grams("node").alias("grams")).select("*", F.explode("grams").alias("gram"))
         spread = cut_lineage(spread)
         others = spread.select("root", F.col("a").alias("b"), F.col("grams").alias("grams_b"), "gram")
         common = spread.join(others, ["root", "gram"]).where("a < b").where(F.array_min(F.array_intersect("grams", "grams_b")) == F.col("gram"))
         pairs = cut_lineage(common.select("a", "b").withColumn("total", similar("a", "b")).where("total > 0"))
         grouped = grouped.unionByName(linkage_by_rounds(pairs, least).withColumnRenamed("node", "form"))
-    return named.join(grouped, "form", "left").select("spelling", F.coalesce("entity", "form").alias("entity"))
+    known = named.join(grouped, "form", "left").join(links, "form", "left")
+    return known.select("spelling", F.coalesce("entity", "form").alias("entity"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 _WEIGHTS: dict[object, Weights] = {}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quirefold.llm.canonical import canonical_fields
 from quirefold.llm.encodings import restore_fields
 from quirefold.llm.mixing import mix_sources
-from quirefold.llm.names import link_names, linked_pairs
+from quirefold.llm.names import link_names, linked_pairs, nearest_names
 from quirefold.llm.pieces import split_pages
 from quirefold.llm.sentences import split_sentences
 from quirefold.llm.tokenize import token_ids
@@ -17,11 +17,20 @@ from quirefold.operators.packed_values import explode_packed
 from quirefold.session import table
 
 
-def p1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every spelling with the person or studio it denotes."""
+def _credited(spark: SparkSession, sf_dir: str) -> DataFrame:
     credits = explode_packed(table(spark, sf_dir, "comicinfo"), ["info_id"], ("writers", "pencillers")).select("val")
     authors = table(spark, sf_dir, "book_meta").select(F.explode("authors").alias("val")).where("val <> 'cb'")
-    return link_names(credits.unionByName(authors), "val")
+    return credits.unionByName(authors)
+
+
+def p1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every spelling with the person or studio it denotes, and how many others it is linked to."""
+    return link_names(_credited(spark, sf_dir), "val")
+
+
+def p1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most similar names of every spelling."""
+    return nearest_names(_credited(spark, sf_dir), "val")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,6 +118,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_entities": p1_entities,
+    "p1_nearest": p1_nearest,
     "p2_found": p2_found,
     "p2_restored": p2_restored,
     "p3_found": p3_found,

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from quirefold.llm import names as N
-from quirefold.llm.names import edits, form_of, link_names, linkage, linked_pairs, relation
+from quirefold.llm.names import edits, form_of, link_names, linkage, linked_pairs, nearest_names, relation
 
 PEOPLE = [(g, f) for g, f in itertools.product(["Theodore", "Susan", "Margaret", "Yusuf", "Ekaterina", "Richard", "Dolores", "Jordi"], ["Soshorkladal", "Lethhorkturk", "Nangbongvober", "Zendstindrecot", "Hunghesgilez", "Brarnsostumov"]) if (len(g) + 2 * len(f)) % 3]
 STUDIOS = ["Gruthropsilt Ink House", "Peknovsuber Workshop", "Sandsandnez & Sons", "Wanpocsolez Publishing", "Soshorkladal Company"]
@@ -18,7 +18,7 @@ def weights(forms):
     grams, words = np.zeros(N.GRAMS, np.float32), np.zeros(N.WORDS, np.float32)
     for f in forms:
         for g in N.grams_of(f):
-            grams[g] += 1
+            grams[g % N.GRAMS] += 1
         for w in f.split(" ")[1 if f[0] == "p" else 2 :]:
             words[N._stable(w) % N.WORDS] += 1
     return N.Weights(grams, words, len(forms))
@@ -36,7 +36,33 @@ def test_forms():
 
 def test_edits():
     assert [edits(a, b, 2) for a, b in (("abc", "abc"), ("abc", "acb"), ("abc", "abbc"), ("abc", "axc"), ("abcd", "badc"), ("abc", "xyz"), ("ab", "abcde"))] == [0, 1, 1, 1, 2, 3, 3]
-    assert edits("a" * 200, "a" * 199 + "b", 1) == 2
+    assert edits("a" * 200, "a" * 199 + "b", 1) == 1 and edits("ab" * 3000, "ab" * 2999 + "ba", 1) == 1 and edits("a" * 5000, "b" * 5000, 2) == 3
+
+    def plain(a, b):
+        rows = [list(range(len(b) + 1))]
+        for i, ca in enumerate(a, 1):
+            rows.append([i] + [0] * len(b))
+            for j, cb in enumerate(b, 1):
+                rows[i][j] = min(rows[i - 1][j] + 1, rows[i][j - 1] + 1, rows[i - 1][j - 1] + (ca != cb))
+                if i > 1 and j > 1 and ca == b[j - 2] and a[i - 2] == cb:
+                    rows[i][j] = min(rows[i][j], rows[i - 2][j - 2] + 1)
+        return rows[-1][-1]
+
+    rng = random.Random(3)
+    for _ in range(3000):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(8))) for _ in range(2))
+        for limit in (1, 2, 3):
+            assert edits(a, b, limit) == min(plain(a, b), limit + 1), (a, b, limit)
+
+
+def test_slips_are_told_by_their_share_not_their_number():
+    forms = [f"p x{k:05} soshorkladal" for k in range(20000)] + [f"p y{k:05} soshorkladel" for k in range(2500)] + [f"p z{k:05} soshorkledal" for k in range(9000)]
+    w = weights(forms)
+    assert w.slip("soshorkladal", "soshorkladel") and not w.slip("soshorkladal", "soshorkledal")
+    few = weights(["p a soshorkladal", "p b soshorkladal", "p c soshorkladel", "p d brarnsostumov", "p e brarnsostumof"])
+    assert few.slip("soshorkladal", "soshorkladel") and few.slip("brarnsostumov", "brarnsostumof")
+    long = weights(["p a " + "k" * 81 + "l", "p b " + "k" * 81 + "m"])
+    assert relation("p a " + "k" * 81 + "l", "p a " + "k" * 81 + "m", long) == 1
 
 
 def test_relations():
@@ -58,14 +84,33 @@ def test_prefixes_lose_no_pair():
     w = weights(forms)
     posted = defaultdict(set)
     for f in forms:
-        for g in w.prefix(f, 0.45):
-            posted[g].add(f)
-    met = {tuple(sorted(p)) for group in posted.values() for p in itertools.combinations(group, 2)}
+        for g, length in w.prefix(f, 0.45):
+            posted[g].add((f, length))
+    met = {tuple(sorted((a, b))) for group in posted.values() for (a, x), (b, y) in itertools.combinations(group, 2) if x * y >= 0.45 - 1e-6}
     for a, b in itertools.combinations(forms, 2):
         if w.cosine(a, b) >= 0.45:
             assert (a, b) in met
 
 
+@pytest.mark.parametrize("block", [2000, 4])
+def test_join_in_blocks_is_whole(spark, monkeypatch, block):
+    monkeypatch.setattr(N, "BLOCK", block)
+    rng = random.Random(5)
+    forms = sorted({"p " + " ".join("".join(rng.choice(["stem", "vab", "grun", "dez"]) for _ in range(rng.randrange(1, 4))) for _ in range(2)) for _ in range(120)})
+    w = weights(forms)
+    rows = [(f, [g for g, _ in w.prefix(f, 0.45)], g, n) for f in forms for g, n in w.prefix(f, 0.45)]
+    met = [(r.a, r.b) for r in N._met(spark.createDataFrame(rows, "form string, grams array<int>, gram int, length double"), 0.45).collect()]
+    assert len(met) == len(set(met)) and {(a, b) for a, b in itertools.combinations(forms, 2) if w.cosine(a, b) >= 0.45} <= set(met)
+
+
+def test_nearest(spark):
+    rows = [(v,) for v in ("Theodore Soshorkladal", "Theodore Soshorkladl", "T. Soshorkladal", "Susan Brarnsostumov", None, " ")]
+    got = {(r.spelling, r.place): r.other for r in nearest_names(spark.createDataFrame(rows, "val string"), "val", 1).collect()}
+    assert got["Theodore Soshorkladl", 1] == "p theodore soshorkladal" and not any(s.startswith("Susan") for s, _ in got) and {p for _, p in got} == {1}
+    linked = {r.spelling: r.n_links for r in link_names(spark.createDataFrame(rows, "val string"), "val").collect()}
+    assert linked["Susan Brarnsostumov"] == 0 and linked["Theodore Soshorkladl"] >= 1
+
+
 def test_linkage_keeps_relatives_apart():
     forms = sorted(form_of(s) for s in ("Theodore Soshorkladal", "T. Soshorkladal", "Theodore R. Soshorkladal", "Susan Soshorkladal", "Susan Soshorkladl"))
     w = weights(forms + [form_of(f"{g} {f}") for g, f in PEOPLE])
@@ -119,14 +164,6 @@ def test_empty(spark):
     assert link_names(df, "val").collect() == []
 
 
-@pytest.mark.parametrize("bound", [3])
-def test_large_components_are_cut_tighter(spark, bound, monkeypatch):
-    monkeypatch.setattr(N, "COMPONENT", bound)
-    rows = [(v,) for g, f in PEOPLE[:4] for v in variants(g, f, random.Random(8))]
-    out = {r.spelling: r.entity for r in link_names(spark.createDataFrame(rows, "val string"), "val").collect()}
-    assert set(out) == {v for (v,) in rows} and out["Theodore Soshorkladal" if "Theodore Soshorkladal" in out else rows[0][0]]
-
-
 def test_linking_does_not_depend_on_the_bound(spark, monkeypatch):
     """A dense family of names chained by slips and initials gets the same classes by one task and by all."""
     rng = random.Random(9)
