@@ -32,6 +32,8 @@ _LIST = re.compile(r'^\s*\[\s*(".*")\s*\]\s*$', re.S)
 _QUOTED = re.compile(r'"(?:[^"\\]|""|\\.)*"', re.S)
 #: A value that is seen nowhere else in the column may contain at most this many delimiters itself.
 MAX_INNER = 2
+#: Rounds of expectation-maximisation end when the shares of the shapes change less than this in all; the number is a safeguard.
+SETTLED, ROUNDS = 0.002, 25
 #: The shapes of values are counted in so many hashed classes: the table sent to the tasks has this size.
 SHAPES = 4096
 #: Prior count of a shape without and with a delimiter inside; the latter have the odd slots.
@@ -214,7 +216,7 @@ def _shape_counts(values: DataFrame) -> np.ndarray:
     return counts
 
 
-def split_packed(values: DataFrame, raw: str, rounds: int = 2, max_inner: int = MAX_INNER) -> DataFrame:
+def split_packed(values: DataFrame, raw: str, rounds: int = ROUNDS, max_inner: int = MAX_INNER) -> DataFrame:
     """Distinct raw values with the array ``vals`` of their parts, by EM and Viterbi.
 
     ``values`` has the raw field in column ``raw``, one row per occurrence.  Null, empty and blank
@@ -242,12 +244,15 @@ def split_packed(values: DataFrame, raw: str, rounds: int = 2, max_inner: int =
     total = float(first_shapes.sum())
     shapes = first_shapes
     for _ in range(rounds):
+        before = shapes / total
         expected = cut_lineage(_expectation(arcs, learned, total, shapes))
         shapes = _shape_counts(known.select("shape", "n").unionByName(expected.select("shape", F.col("m").alias("n"))))
         total = float(shapes.sum())
         # What one field alone suggests is no evidence for it: one count of each value is taken back.
         others = expected.groupBy("val").agg(F.sum("n").alias("n")).select("val", (F.col("n") - 1.0).alias("n")).where("n > 0")
         learned = known.select("val", "n").unionByName(others).groupBy("val").agg(F.sum("n").alias("count"))
+        if float(np.abs(shapes / total - before).sum()) < SETTLED:
+            break
 
     best = _segment(arcs, learned, total, shapes)
     plain = sure.select("raw", F.filter(F.transform("arcs", lambda a: a["val"]), lambda v: v != "").alias("vals"))
@@ -291,7 +296,7 @@ def _segment(arcs: DataFrame, learned: DataFrame, total: float, shapes: np.ndarr
     return _weighed(arcs, learned).select("raw", best("arcs").alias("vals"))
 
 
-def explode_packed(df: DataFrame, keys: Sequence[str], fields: Sequence[str], rounds: int = 2) -> DataFrame:
+def explode_packed(df: DataFrame, keys: Sequence[str], fields: Sequence[str], rounds: int = ROUNDS) -> DataFrame:
     """One row per value of the packed ``fields``: keys, field_name, pos (from 1), n_vals, val.
 
     Rows delivered twice (equal keys) count once: of differing copies the smallest raw value is
