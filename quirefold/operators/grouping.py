@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.functions.text import depth, is_junk, natural_key
+from quirefold.operators.ordering import Ordered, number_rows, runs
 
 
 def without_repeats(df: DataFrame, *stamps: str) -> DataFrame:
@@ -29,18 +30,6 @@ def single_root(entries: DataFrame, source: str, path: str, is_dir: str) -> Data
     return by.select(source, F.when((F.col("least") == F.col("most")) & ~F.coalesce("loose", F.lit(False)), F.col("least")).alias("root"))
 
 
-def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "ordinal") -> DataFrame:
-    """Position from 1 in each group."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-
-
-def runs(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: str, name: str = "run") -> DataFrame:
-    """Number (from 0) of the run of equal neighbours a row is in; equal values apart are different runs."""
-    by = Window.partitionBy(*keys).orderBy(*order)
-    changes = (~F.col(value).eqNullSafe(F.lag(value).over(by)) | (F.row_number().over(by) == 1)).cast("int")
-    return df.withColumn(name, F.sum(changes).over(by.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-
-
 def most_common(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str | Column]) -> DataFrame:
     """The most frequent value of each group, the one seen first on a tie: keys, value, n.
 
@@ -71,9 +60,9 @@ def natural_sorted(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     from neighbours in plain order, so no group is collected.
     """
     distinct = df.where(F.col(name).isNotNull()).select(*keys, name).distinct().withColumn("natural_key", natural_key(F.col(name)))
-    by = Window.partitionBy(*keys).orderBy(name)
-    wrong = F.lag("natural_key").over(by) > F.col("natural_key")
-    return distinct.withColumn("wrong", F.coalesce(wrong, F.lit(False))).groupBy(*keys).agg((~F.max("wrong")).alias("natural"))
+    placed = Ordered(distinct, keys, [name]).before("prior_key", "natural_key").frame()
+    wrong = F.col("prior_key") > F.col("natural_key")
+    return placed.withColumn("wrong", F.coalesce(wrong, F.lit(False))).groupBy(*keys).agg((~F.max("wrong")).alias("natural"))
 
 
 def uniform_depth(df: DataFrame, keys: Sequence[str], path: str) -> DataFrame:
@@ -100,7 +89,7 @@ def fuse(sources: Sequence[DataFrame], name: str) -> DataFrame:
 def keep_lines(df: DataFrame, remove: DataFrame, keys: Sequence[str], line: str) -> DataFrame:
     """Rows whose (keys, line) are not in ``remove``, renumbered from 0 in the column ``kept_line``."""
     left = df.join(remove.select(*keys, line).distinct(), [*keys, line], "left_anti")
-    return left.withColumn("kept_line", F.row_number().over(Window.partitionBy(*keys).orderBy(line)) - 1)
+    return number_rows(left, keys, [line], "kept_line").withColumn("kept_line", F.col("kept_line") - 1)
 
 
 def folder_prefixes(path: Column) -> Column:
@@ -158,3 +147,19 @@ def merge_boxes(df: DataFrame, keys: Sequence[str], order: Sequence[str], dx: fl
         return [(*rows[0][:n], k, *box) for k, box in enumerate(merged_boxes([r[n : n + 4] for r in rows], dx, dy))]
 
     return map_groups(plain, keys, order, unite, schema)
+
+
+def all_within(df: DataFrame, keys: Sequence[str], measure: Column, limit: int) -> DataFrame:
+    """Whether every row of a group measures less than a limit: keys, within; unknown measures don't count."""
+    return df.groupBy(*keys).agg(F.coalesce(F.bool_and(measure < limit), F.lit(True)).alias("within"))
+
+
+def source_quality(df: DataFrame, keys: Sequence[str], small: Column, processed: Column, share: float = 0.25) -> DataFrame:
+    """Signs that a source is second best: keys, n_small, n, suboptimal (more than ``share`` of its pages are small), processed (a name says so)."""
+    n = F.count(F.lit(1))
+    return df.groupBy(*keys).agg(F.count_if(small).alias("n_small"), n.alias("n"), (F.count_if(small) > n * share).alias("suboptimal"), F.max(processed).alias("processed"))
+
+
+def with_defaults(found: Column, *others: Column) -> Column:
+    """What a lookup gave, else the first of the others that is known."""
+    return F.coalesce(found, *others)

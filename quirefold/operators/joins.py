@@ -4,26 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirefold.operators.ordering import Ordered
+
 
 def as_of_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, value: Sequence[str]) -> DataFrame:
     """Each left row with the values of the last right row of its key at or before its time.
 
-    Both sides are merged into one ordered window per key, so nothing is paired; rows without an
-    earlier right row get nulls.  On equal right times the greatest values count.  Null keys never match
-    and null times come before all others.
+    Both sides are merged into one order, in which the last right row is the greatest so far, so nothing is paired and
+    a frequent key lies in many parts; rows without an earlier right row get nulls.  On equal right times
+    the greatest values count.  Null keys never match and null times come before all others.
     """
     kept = [c for c in left.columns if c not in keys]
-    a = left.select(*keys, F.struct(*kept).alias("row"), F.col(left_time).alias("at"), F.lit(1).alias("side"), F.lit(None).cast(right.select(F.struct(*value)).schema[0].dataType).alias("seen"))
-    b = right.where(F.col(right_time).isNotNull()).select(*keys, F.lit(None).cast(a.schema["row"].dataType).alias("row"), F.col(right_time).alias("at"), F.lit(0).alias("side"), F.struct(*value).alias("seen"))
-    by = Window.partitionBy(*keys).orderBy(F.col("at").asc_nulls_first(), "side", F.col("seen").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    merged = a.unionByName(b).withColumn("last", F.last("seen", ignorenulls=True).over(by)).where("side = 1")
     known = F.lit(True)
     for k in keys:
         known = known & F.col(k).isNotNull()
-    return merged.select(*keys, "row.*", *[F.when(known & F.col("at").isNotNull(), F.col(f"last.{v}")).alias(v) for v in value])
+    a = left.select(*keys, F.struct(*kept).alias("row"), F.col(left_time).alias("at"), F.lit(1).alias("side"), F.lit(None).cast(right.select(F.struct(*value)).schema[0].dataType).alias("seen"))
+    b = right.where(F.col(right_time).isNotNull() & known).select(*keys, F.lit(None).cast(a.schema["row"].dataType).alias("row"), F.col(right_time).alias("at"), F.lit(0).alias("side"), F.struct(*value).alias("seen"))
+    merged = Ordered(a.unionByName(b), keys, ["at", "side", "seen"])
+    latest = merged.highest("last", F.when(F.col("side") == 0, F.struct("at", "seen")), itself=True).frame().where("side = 1")
+    return latest.select(*keys, "row.*", *[F.when(known & F.col("at").isNotNull(), F.col(f"last.seen.{v}")).alias(v) for v in value])
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], width: int, left_span: tuple[str, str] = ("start", "stop"), right_span: tuple[str, str] = ("start2", "stop2")) -> DataFrame:

@@ -63,6 +63,18 @@ class Ordered:
         self.df = joined.withColumn(name, F.coalesce(seen, F.col("_prior"))[value]).drop("_prior")
         return self
 
+    def highest(self, name: str, value: Column, itself: bool = False) -> Ordered:
+        """Adds the greatest value of the rows before (and of the row itself); nulls don't count."""
+        valued = self.df.withColumn("_v", value)
+        per_part = valued.groupBy("_part", *self.keys).agg(F.max("_v").alias("_most"))
+        earlier = Window.partitionBy(*self.keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        self.df = valued
+        joined = self._carried(per_part, {"_prior": F.max("_most").over(earlier)})
+        inside = F.max("_v").over(self.by.rowsBetween(Window.unboundedPreceding, 0 if itself else -1))
+        # Structs are compared too, and greatest passes nulls over only for plain types.
+        self.df = joined.withColumn("_in", inside).withColumn(name, F.when(F.col("_prior").isNull() | (F.col("_in") >= F.col("_prior")), F.col("_in")).otherwise(F.col("_prior"))).drop("_prior", "_v", "_in")
+        return self
+
     def frame(self) -> DataFrame:
         return self.df.drop("_part")
 

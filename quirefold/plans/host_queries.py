@@ -27,7 +27,8 @@ def host_join_semi(spark: SparkSession, d: str) -> DataFrame:
 
 
 def host_join_anti(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
+    urgent = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, d, "customer").join(urgent, "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 
 def host_join_full(spark: SparkSession, d: str) -> DataFrame:
@@ -135,7 +136,7 @@ ORACLE = {
     "host_join_inner": "SELECT c_mktsegment, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment",
     "host_join_left": "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey",
     "host_join_semi": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 49)",
-    "host_join_anti": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "host_join_anti": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')",
     "host_join_full": "SELECT k, suppliers, customers FROM (SELECT s_nationkey AS k, count(*) AS suppliers FROM supplier GROUP BY 1) FULL JOIN (SELECT c_nationkey AS k, count(*) AS customers FROM customer GROUP BY 1) USING (k)",
     "host_as_of": "SELECT b.event_id, max(s.event_id) AS seen_id FROM (SELECT b.event_id, b.user_id, max(s.ts) AS t FROM events b LEFT JOIN events s ON s.user_id = b.user_id AND s.ts <= b.ts AND s.event_type = 'view' WHERE b.event_type = 'purchase' GROUP BY b.event_id, b.user_id) b LEFT JOIN events s ON s.user_id = b.user_id AND s.ts = b.t AND s.event_type = 'view' GROUP BY b.event_id",
     "host_overlap": "WITH p AS (SELECT page_id, any_value(panels) AS panels FROM pages WHERE panels IS NOT NULL GROUP BY page_id), b AS (SELECT page_id, unnest(range(len(panels))) AS k, unnest(panels) AS u FROM p) SELECT x.page_id, CAST(x.k AS INT) AS k, CAST(y.k AS INT) AS k2 FROM b x JOIN b y ON x.page_id = y.page_id AND x.k < y.k AND x.u.top < y.u.bottom AND y.u.top < x.u.bottom AND x.u.top < x.u.bottom AND y.u.top < y.u.bottom",

@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirefold.functions import geometry as G
+from quirefold.functions import layout as L
 from quirefold.functions import text as T
 from quirefold.operators import folds, grids, grouping
+from quirefold.operators.ordering import Ordered, number_rows
 from quirefold.session import table
+from quirefold.sources.archives import sniff_kind
+from quirefold.sources.headers import image_size
 
 PAGE_ORDER = ("chapter_ord", "page_ord", "page_id")
 ENC_ORDER = ("chapter_ord", "page_ord", "sub_ord", "enc_id")
@@ -154,12 +158,10 @@ def ref_event_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sides(spark: SparkSession, d: str, right_to_left: bool) -> DataFrame:
-    by = Window.partitionBy("book_id").orderBy(*ENC_ORDER)
-    pages = _encoded(spark, d).withColumn("i", F.row_number().over(by) - 1)
-    special = F.when(F.col("order_class") != "x", F.col("i"))
-    ahead = by.rowsBetween(1, Window.unboundedFollowing)
-    behind = by.rowsBetween(Window.unboundedPreceding, -1)
-    placed = pages.withColumn("nx", F.first(special, ignorenulls=True).over(ahead)).withColumn("pv", F.last(special, ignorenulls=True).over(behind))
+    pages = number_rows(_encoded(spark, d).select("book_id", *ENC_ORDER, "order_class"), ["book_id"], ENC_ORDER, "n").withColumn("i", F.col("n") - 1).withColumn("back", -F.col("i"))
+    whole = F.col("order_class") == "x"
+    behind = Ordered(pages, ["book_id"], ["i"]).highest("pv", F.when(~whole, F.col("i"))).frame()
+    placed = Ordered(behind, ["book_id"], ["back"]).highest("nx", F.when(~whole, F.col("back"))).frame().withColumn("nx", -F.col("nx"))
     side = G.spread_side(F.col("order_class"), F.col("i"), F.col("nx"), F.col("pv"), right_to_left, "right" if right_to_left else "left")
     return placed.select("enc_id", side.alias("side"))
 
@@ -292,9 +294,8 @@ def ref_black_point(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ref_box_blur(spark: SparkSession, d: str) -> DataFrame:
-    cells = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("x", "f"))
-    ints = cells.select("vec_id", "x", F.floor((F.col("f").cast("double") + 1) * 128).cast("int").alias("v"))
-    return grids.box_blur(ints, ["vec_id"], "x", "v").select("vec_id", "x", "blurred")
+    across = grids.box_blur(_grid(spark, d), ["label", "y"], "x", "v").withColumnRenamed("blurred", "first")
+    return grids.box_blur(across, ["label", "x"], "y", "first").select("label", "x", "y", "blurred")
 
 
 def ref_most_common(spark: SparkSession, d: str) -> DataFrame:
@@ -316,7 +317,7 @@ def ref_lookup_default(spark: SparkSession, d: str) -> DataFrame:
     meta = table(spark, d, "book_meta").groupBy("book_id").agg(latest).select("book_id", "m.*")
     pages = _pages(spark, d).select("page_id", "book_id", T.pad_numbers(T.slug(F.col("chapter"))).alias("slug"))
     found = pages.join(meta, "book_id", "left")
-    return found.select("page_id", F.coalesce(F.col("chapter_titles")[F.col("slug")], F.col("title"), F.col("book_id")).alias("title"))
+    return found.select("page_id", grouping.with_defaults(F.col("chapter_titles")[F.col("slug")], F.col("title"), F.col("book_id")).alias("title"))
 
 
 def ref_positional_join(spark: SparkSession, d: str) -> DataFrame:
@@ -343,18 +344,18 @@ def ref_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ref_suboptimal(spark: SparkSession, d: str) -> DataFrame:
-    small = F.count_if((F.col("width") < F.col("W")) & (F.col("height") < F.col("H")))
-    return _framed(spark, d).groupBy("book_id").agg(small.alias("n_small"), F.count(F.lit(1)).alias("n"), (small * 4 > F.count(F.lit(1))).alias("suboptimal"), F.max(T.stem(F.col("path")).contains("-cb")).alias("processed"))
+    small = (F.col("width") < F.col("W")) & (F.col("height") < F.col("H"))
+    return grouping.source_quality(_framed(spark, d), ["book_id"], small, T.stem(F.col("path")).contains("-cb"))
 
 
 def ref_within_threshold(spark: SparkSession, d: str) -> DataFrame:
     p = _pages(spark, d).where("width > 0 and height > 0")
-    return p.groupBy("book_id").agg(F.bool_and(F.col("width").cast("long") * F.col("height") < 3_000_000).alias("within"))
+    return grouping.all_within(p, ["book_id"], L.clamp_measure("resize", F.col("width"), F.col("height")), 3_000_000)
 
 
 def ref_html_escape(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "documents").where("text is not null").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return x.groupBy("doc_id").agg(F.sum(F.length(T.html_escape(T.normalize_line_ends(F.col("line"))))).alias("escaped"))
+    x = table(spark, d, "documents").where("text is not null")
+    return x.select("doc_id", F.md5(T.html_escape(T.normalize_line_ends(F.col("text"))).cast("binary")).alias("escaped"))
 
 
 def ref_titles(spark: SparkSession, d: str) -> DataFrame:
@@ -373,19 +374,21 @@ def ref_profile_fit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ref_image_header(spark: SparkSession, d: str) -> DataFrame:
-    """Width and height from the headers of PNG entries, without decoding."""
-    def number(at: int):
-        return F.conv(F.hex(F.substring("content", at, 4)), 16, 10).cast("long")
-
-    e = _entries(spark, d).where(F.hex(F.substring("content", 1, 8)) == "89504E470D0A1A0A").where(F.octet_length("content") >= 24)
-    return e.select("entry_id", number(17).alias("width"), number(21).alias("height"))
+    """Width and height from the headers of entries, without decoding; null where the header doesn't tell."""
+    e = _entries(spark, d).where("content is not null")
+    return e.select("entry_id", image_size(F.col("content")).alias("s")).select("entry_id", F.col("s.width").cast("long").alias("width"), F.col("s.height").cast("long").alias("height"))
 
 
 def ref_sniff(spark: SparkSession, d: str) -> DataFrame:
-    """Kind of each entry's content by its first bytes."""
-    head = F.hex(F.substring("content", 1, 4))
-    kind = F.when(head == "89504E47", "png").when(head.startswith("FFD8FF"), "jpeg").when(head == "47494638", "gif").when(head == "52494646", "webp").when(head == "504B0304", "zip").when(head.isNull(), "none").otherwise("other")
-    return _entries(spark, d).groupBy(kind.alias("sniffed")).agg(F.count(F.lit(1)).alias("n"))
+    """Kind of each container or entry by its first bytes, else by its name."""
+    e = _entries(spark, d).select("entry_id", sniff_kind(F.col("content"), F.col("name")).alias("entry_kind"), sniff_kind(F.lit(None).cast("binary"), F.col("src")).alias("source_kind"))
+    heads = F.array(*[F.struct(F.lit(k).alias("head"), F.unhex(F.lit(h)).alias("bytes")) for k, h in HEADS.items()])
+    one = table(spark, d, "region").limit(1).select(F.explode(heads).alias("h")).select(F.col("h.head").alias("head"), sniff_kind(F.col("h.bytes"), F.lit("x.bin")).alias("kind"))
+    return e.groupBy("entry_kind", "source_kind").agg(F.count(F.lit(1)).alias("n")).unionByName(one.select(F.col("kind").alias("entry_kind"), F.col("head").alias("source_kind"), F.lit(-1).cast("long").alias("n")))
+
+
+# First bytes of containers.
+HEADS = {"zip": "504B030414000000", "empty zip": "504B0506", "rar": "526172211A0700", "rar 5": "526172211A070100", "7z": "377ABCAF271C0004", "pdf": "255044462D312E34", "none": "0102", "tar": "00" * 257 + "7573746172"}
 
 
 def ref_bookmarks(spark: SparkSession, d: str) -> DataFrame:
@@ -407,8 +410,8 @@ def ref_merge_boxes(spark: SparkSession, d: str) -> DataFrame:
     """Panels of each page united where they overlap."""
     p = table(spark, d, "pages").where("panels is not null").groupBy("page_id").agg(F.max_by("panels", "page_id").alias("panels"))
     boxes = p.select("page_id", F.posexplode("panels").alias("k", "b")).where("b.top < b.bottom")
-    boxes = boxes.select("page_id", "k", F.lit(0).cast("long").alias("x1"), F.lit(0).cast("long").alias("x2"), F.col("b.top").cast("long").alias("y1"), F.col("b.bottom").cast("long").alias("y2"))
-    return grouping.merge_boxes(boxes, ["page_id"], ["k"]).select("page_id", "y1", "y2")
+    boxes = boxes.select("page_id", "k", (F.col("k") % 3 * 100).cast("long").alias("x1"), (F.col("k") % 3 * 100 + F.when(F.col("page_id") % 2 == 0, 90).otherwise(290)).cast("long").alias("x2"), F.col("b.top").cast("long").alias("y1"), F.col("b.bottom").cast("long").alias("y2"))
+    return grouping.merge_boxes(boxes, ["page_id"], ["k"]).select("page_id", "x1", "x2", "y1", "y2")
 
 
 QUERIES = {name: query for name, query in dict(globals()).items() if name.startswith("ref_")}
@@ -504,7 +507,7 @@ t AS (SELECT label, axis, strip, CASE WHEN strip * 5 + 5 > CASE axis WHEN 'y' TH
 c AS (SELECT t.label, t.axis, t.strip, count(*) AS area, sum(black) AS blacks FROM t JOIN g ON g.label = t.label AND CASE t.axis WHEN 'y' THEN g.y ELSE g.x END >= a AND CASE t.axis WHEN 'y' THEN g.y ELSE g.x END < a + 5 GROUP BY t.label, t.axis, t.strip)
 SELECT label, CAST(sum(CASE WHEN blacks = 0 THEN -area WHEN blacks = area THEN area ELSE 0 END) AS BIGINT) AS total FROM c GROUP BY label""",
     "ref_black_point": f"WITH {_HIST}, m AS (SELECT label, coalesce(max(n) FILTER (bin < 120), 0) AS most FROM hist GROUP BY label) SELECT m.label, coalesce((SELECT min(bin) FROM hist h WHERE h.label = m.label AND h.n = m.most), 0) AS black_point FROM m",
-    "ref_box_blur": "WITH c AS (SELECT vec_id, unnest(range(len(embedding))) AS x, CAST(floor((CAST(unnest(embedding) AS DOUBLE) + 1) * 128) AS INT) AS v FROM embeddings) SELECT vec_id, x, CAST((coalesce(lag(v) OVER w, v) + v + coalesce(lead(v) OVER w, v) + 1) // 3 AS BIGINT) AS blurred FROM c WINDOW w AS (PARTITION BY vec_id ORDER BY x)",
+    "ref_box_blur": f"WITH {_GRID}, a AS (SELECT label, x, y, (coalesce(lag(v) OVER w, v) + v + coalesce(lead(v) OVER w, v) + 1) // 3 AS f FROM grid WINDOW w AS (PARTITION BY label, y ORDER BY x)) SELECT label, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST((coalesce(lag(f) OVER w, f) + f + coalesce(lead(f) OVER w, f) + 1) // 3 AS BIGINT) AS blurred FROM a WINDOW w AS (PARTITION BY label, x ORDER BY y)",
     "ref_most_common": f"WITH {_PAGES}, c AS (SELECT book_id, width, count(*) AS n, min({{'a': chapter_ord, 'b': page_ord, 'c': page_id}}) AS seen FROM pages_once WHERE width IS NOT NULL GROUP BY book_id, width) SELECT book_id, width, n FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY n DESC, seen) AS r FROM c) WHERE r = 1",
     "ref_people_union": f"WITH {_COMICS}, p AS (SELECT info_id, list_sort(list_distinct(list_filter(list_concat(string_split(coalesce(writers, ''), ', '), string_split(coalesce(pencillers, ''), ', '), string_split(coalesce(inkers, ''), ', '), string_split(coalesce(colorists, ''), ', ')), lambda x: x <> ''))) AS l FROM comics) SELECT info_id, CASE WHEN len(l) = 0 THEN 'cb' ELSE array_to_string(l, '|') END AS people FROM p",
     "ref_first_wins": "SELECT user_id, event_type, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r FROM events) WHERE r = 1",
@@ -515,13 +518,13 @@ SELECT label, CAST(sum(CASE WHEN blacks = 0 THEN -area WHEN blacks = area THEN a
     "ref_fusion": "SELECT 'fusion_0001_' || s_name AS name, s_suppkey AS id, 1 AS source_ord, s_name AS plain FROM supplier UNION ALL SELECT 'fusion_0002_' || c_name, c_custkey, 2, c_name FROM customer",
     "ref_suboptimal": f"WITH {_FRAMED} SELECT book_id, count(*) FILTER (width < W AND height < H) AS n_small, count(*) AS n, count(*) FILTER (width < W AND height < H) * 4 > count(*) AS suboptimal, bool_or(contains(CASE WHEN regexp_matches(regexp_extract(path, '([^/]*)$', 1), '.\\.[^.]*$') THEN regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^.]*$', '') ELSE regexp_extract(path, '([^/]*)$', 1) END, '-cb')) AS processed FROM framed GROUP BY book_id",
     "ref_within_threshold": f"WITH {_PAGES} SELECT book_id, bool_and(CAST(width AS BIGINT) * height < 3000000) AS within FROM pages_once WHERE width > 0 AND height > 0 GROUP BY book_id",
-    "ref_html_escape": "SELECT doc_id, CAST(sum(length(replace(replace(replace(replace(replace(replace(replace(line, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;'))) AS BIGINT) AS escaped FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL) GROUP BY doc_id",
+    "ref_html_escape": "SELECT doc_id, md5(replace(replace(replace(replace(replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')) AS escaped FROM documents WHERE text IS NOT NULL",
     "ref_titles": f"WITH {_COMICS}, z AS (SELECT *, CASE WHEN length(volume) >= 2 THEN volume ELSE lpad(volume, 2, '0') END AS v, CASE WHEN length(number) >= 3 THEN number ELSE lpad(number, 3, '0') END AS n FROM comics) SELECT info_id, CASE WHEN coalesce(series, '') <> '' THEN series ELSE book_id END || CASE WHEN coalesce(volume, '') <> '' THEN ' Vol. ' || v ELSE '' END || CASE WHEN coalesce(number, '') <> '' THEN ' #' || n ELSE '' END || CASE WHEN coalesce(title, '') <> '' THEN ': ' || title ELSE '' END AS full_title, nullif(concat_ws('.', nullif(volume, ''), nullif(number, '')), '') AS position FROM z",
     "ref_zfill": "WITH s AS (SELECT c_custkey, CAST(CAST(trunc(c_acctbal) AS INT) AS VARCHAR) AS v FROM customer) SELECT c_custkey, CASE WHEN length(v) >= 6 THEN v WHEN v[1] = '-' THEN '-' || lpad(v[2:], 5, '0') ELSE lpad(v, 6, '0') END AS filled FROM s",
     "ref_profile_fit": f"WITH {_FRAMED} SELECT profile, count(*) FILTER (width <= W AND height <= H) AS n_fit, count(*) FILTER (width > height) AS n_across, count(*) AS n FROM framed GROUP BY profile",
-    "ref_sniff": f"WITH {_ENTRIES}, h AS (SELECT left(hex(content), 8) AS head FROM entries_once) SELECT CASE WHEN head = '89504E47' THEN 'png' WHEN starts_with(head, 'FFD8FF') THEN 'jpeg' WHEN head = '47494638' THEN 'gif' WHEN head = '52494646' THEN 'webp' WHEN head = '504B0304' THEN 'zip' WHEN head IS NULL THEN 'none' ELSE 'other' END AS sniffed, count(*) AS n FROM h GROUP BY 1",
+    "ref_sniff": f"WITH {_ENTRIES}, h AS (SELECT hex(content) AS h, name, src FROM entries_once), k AS (SELECT CASE WHEN starts_with(h, '504B0304') OR starts_with(h, '504B0506') THEN 'zip' WHEN starts_with(h, '526172211A07') THEN 'rar' WHEN starts_with(h, '377ABCAF271C') THEN '7z' WHEN substr(h, 515, 10) = '7573746172' THEN 'tar' WHEN starts_with(h, '25504446') THEN 'pdf' ELSE CASE WHEN lower(regexp_extract(name, '([^/]*)$', 1)) SIMILAR TO '.+\\.(zip|cbz|epub)' THEN 'zip' WHEN lower(regexp_extract(name, '([^/]*)$', 1)) SIMILAR TO '.+\\.(tar|cbt)' THEN 'tar' WHEN lower(regexp_extract(name, '([^/]*)$', 1)) SIMILAR TO '.+\\.(rar|cbr)' THEN 'rar' WHEN lower(regexp_extract(name, '([^/]*)$', 1)) SIMILAR TO '.+\\.(7z|cb7)' THEN '7z' END END AS entry_kind, CASE WHEN lower(regexp_extract(src, '([^/]*)$', 1)) SIMILAR TO '.+\\.(zip|cbz|epub)' THEN 'zip' WHEN lower(regexp_extract(src, '([^/]*)$', 1)) SIMILAR TO '.+\\.(tar|cbt)' THEN 'tar' WHEN lower(regexp_extract(src, '([^/]*)$', 1)) SIMILAR TO '.+\\.(rar|cbr)' THEN 'rar' WHEN lower(regexp_extract(src, '([^/]*)$', 1)) SIMILAR TO '.+\\.(7z|cb7)' THEN '7z' END AS source_kind FROM h) SELECT entry_kind, source_kind, count(*) AS n FROM k GROUP BY ALL UNION ALL VALUES ('zip', 'zip', -1), ('zip', 'empty zip', -1), ('rar', 'rar', -1), ('rar', 'rar 5', -1), ('7z', '7z', -1), ('pdf', 'pdf', -1), (NULL, 'none', -1), ('tar', 'tar', -1)",
     "ref_matching_root": f"WITH {_NORMAL}, r AS (SELECT src, CASE WHEN count(DISTINCT string_split(path, '/')[1]) FILTER (NOT {_JUNK}) = 1 AND NOT coalesce(bool_or(NOT folder AND path NOT LIKE '%/%') FILTER (NOT {_JUNK}), false) THEN min(string_split(path, '/')[1]) FILTER (NOT {_JUNK}) END AS root FROM normal WHERE path IS NOT NULL GROUP BY src), m AS (SELECT book_id, max(series) AS series FROM book_meta WHERE book_id IS NOT NULL GROUP BY book_id), b AS (SELECT src, root, {_BARE.format('root')} AS x, {_BARE.format('r.book')} AS y, {_BARE.format('series')} AS z FROM (SELECT *, regexp_extract(src, '^(.*)\\.[^.]*$', 1) AS book FROM r WHERE root IS NOT NULL) r LEFT JOIN m ON r.book = m.book_id) SELECT src, root, coalesce(x <> '' AND y <> '' AND (contains(y, x) OR contains(x, y)), false) OR coalesce(x <> '' AND z <> '' AND (contains(z, x) OR contains(x, z)), false) AS matches FROM b",
     "ref_folder_order": f"WITH {_NORMAL}, f AS (SELECT DISTINCT src, regexp_replace(path, '(^|/)[^/]*$', '') AS dir FROM normal WHERE path IS NOT NULL) SELECT src, dir, row_number() OVER (PARTITION BY src ORDER BY CASE WHEN dir = '' THEN [] ELSE list_transform(string_split(dir, '/'), lambda name: {_NATKEY}) END, dir) AS rank FROM f",
-    "ref_merge_boxes": "WITH p AS (SELECT page_id, any_value(panels) AS panels FROM pages WHERE panels IS NOT NULL GROUP BY page_id), b AS (SELECT page_id, CAST(u.top AS BIGINT) AS a, CAST(u.bottom AS BIGINT) AS b FROM (SELECT page_id, unnest(panels) AS u FROM p) WHERE u.top < u.bottom), m AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY page_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM b), r AS (SELECT *, sum(opens) OVER (PARTITION BY page_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS run FROM m) SELECT page_id, min(a) AS y1, max(b) AS y2 FROM r GROUP BY page_id, run",
-    "ref_image_header": f"WITH {_ENTRIES} SELECT entry_id, CAST('0x' || substr(hex(content), 33, 8) AS BIGINT) AS width, CAST('0x' || substr(hex(content), 41, 8) AS BIGINT) AS height FROM entries_once WHERE starts_with(hex(content), '89504E470D0A1A0A') AND octet_length(content) >= 24",
+    "ref_merge_boxes": "WITH p AS (SELECT page_id, any_value(panels) AS panels FROM pages WHERE panels IS NOT NULL GROUP BY page_id), u AS (SELECT page_id, unnest(range(len(panels))) AS k, unnest(panels) AS u FROM p), b AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN k % 3 ELSE 0 END AS part, k % 3 * 100 AS x1, k % 3 * 100 + CASE WHEN page_id % 2 = 0 THEN 90 ELSE 290 END AS x2, CAST(u.top AS BIGINT) AS a, CAST(u.bottom AS BIGINT) AS b FROM u WHERE u.top < u.bottom), m AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY page_id, part ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM b), r AS (SELECT *, sum(opens) OVER (PARTITION BY page_id, part ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS run FROM m) SELECT page_id, CAST(min(x1) AS BIGINT) AS x1, CAST(max(x2) AS BIGINT) AS x2, min(a) AS y1, max(b) AS y2 FROM r GROUP BY page_id, part, run",
+    "ref_image_header": f"WITH {_ENTRIES}, h AS (SELECT entry_id, hex(content) AS h FROM entries_once WHERE content IS NOT NULL) SELECT entry_id, CASE WHEN starts_with(h, '89504E470D0A1A0A') THEN TRY_CAST('0x' || nullif(substr(h, 33, 8), '') AS BIGINT) END AS width, CASE WHEN starts_with(h, '89504E470D0A1A0A') THEN TRY_CAST('0x' || nullif(substr(h, 41, 8), '') AS BIGINT) END AS height FROM h",
 }
