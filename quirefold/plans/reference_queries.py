@@ -428,6 +428,14 @@ _GRID = "grid AS (SELECT label, y, unnest(range(len(embedding))) AS x, CAST(floo
 _HIST = f"{_GRID}, hist AS (SELECT label, v AS bin, count(*) AS n FROM grid GROUP BY label, v)"
 
 
+def _overlap_cte(view: int) -> str:
+    """Parts of pages that overlap in views of some rows, as ``p(page_id, part, top, bottom)``."""
+    return f"""h AS (SELECT page_id, CAST(height AS BIGINT) AS h FROM pages_once WHERE height > 0), n AS (SELECT *, CAST(ceil(h / {view}.0) AS BIGINT) AS parts FROM h), p AS (
+SELECT page_id, 0 AS part, 0 AS top, CASE WHEN h <= {view * 3 // 2} THEN h WHEN h <= {view * 2} THEN {view} ELSE {view} END AS bottom FROM n
+UNION ALL SELECT page_id, part, part * (h // parts), part * (h // parts) + {view} FROM (SELECT page_id, h, parts, unnest(range(1, parts - 1)) AS part FROM n WHERE h > {view * 2})
+UNION ALL SELECT page_id, CASE WHEN h <= {view * 2} THEN 1 ELSE parts - 1 END, h - {view}, h FROM n WHERE h > {view * 3 // 2})"""
+
+
 def _pack_cte(items: str, cap: int) -> str:
     """Recursive greedy packing of ``items(g, k, size)`` with k = 1.. in each group g."""
     return f"""packed(g, k, shard, load) AS (SELECT g, k, CAST(0 AS BIGINT), CAST(size AS BIGINT) FROM {items} WHERE k = 1
@@ -482,10 +490,7 @@ UNION ALL SELECT o.user_id, o.k, CASE WHEN s.first IS NULL THEN o.v WHEN o.v - s
 SELECT user_id, out_first AS first_value, out_last AS last_value FROM s WHERE out_first IS NOT NULL UNION ALL SELECT user_id, first, last FROM s WHERE first IS NOT NULL AND k = (SELECT max(k) FROM o WHERE o.user_id IS NOT DISTINCT FROM s.user_id)""",
     "ref_panel_scan": f"WITH {_BANDS} SELECT user_id, top, bottom FROM panels_kept",
     "ref_pack_heights": f"WITH RECURSIVE {_BANDS}, o AS (SELECT user_id, top, bottom, bottom - top AS h, row_number() OVER (PARTITION BY user_id ORDER BY top) AS k FROM panels_kept), s(user_id, k, page, room) AS (SELECT user_id, k, CAST(0 AS BIGINT), CAST(8 - h AS BIGINT) FROM o WHERE k = 1 UNION ALL SELECT o.user_id, o.k, CASE WHEN s.room - o.h > 0 THEN s.page ELSE s.page + 1 END, CASE WHEN s.room - o.h > 0 THEN s.room - o.h ELSE 8 - o.h END FROM s JOIN o ON o.user_id = s.user_id AND o.k = s.k + 1) SELECT user_id, top, bottom, page AS virtual_page FROM s JOIN o USING (user_id, k)",
-    "ref_overlap_parts": f"""WITH {_PAGES}, h AS (SELECT page_id, CAST(height AS BIGINT) AS h FROM pages_once WHERE height > 0), n AS (SELECT *, CAST(ceil(h / 1400.0) AS BIGINT) AS parts FROM h), p AS (
-SELECT page_id, 0 AS part, 0 AS top, CASE WHEN h <= 2100 THEN h WHEN h <= 2800 THEN 1400 ELSE 1400 END AS bottom FROM n
-UNION ALL SELECT page_id, part, part * (h // parts), part * (h // parts) + 1400 FROM (SELECT page_id, h, parts, unnest(range(1, parts - 1)) AS part FROM n WHERE h > 2800)
-UNION ALL SELECT page_id, CASE WHEN h <= 2800 THEN 1 ELSE parts - 1 END, h - 1400, h FROM n WHERE h > 2100) SELECT page_id, CAST(part AS INT) AS part, CAST(top AS BIGINT) AS top, CAST(bottom AS BIGINT) AS bottom FROM p""",
+    "ref_overlap_parts": f"WITH {_PAGES}, {_overlap_cte(1400)} SELECT page_id, CAST(part AS INT) AS part, CAST(top AS BIGINT) AS top, CAST(bottom AS BIGINT) AS bottom FROM p",
     "ref_spread_parts": f"WITH {_FRAMED}, k AS (SELECT *, {_RATIO} AS ratio, {_ACROSS} AS across FROM framed) SELECT page_id, 0 AS part, 'x' AS order_class, CAST(width AS BIGINT) AS width, CAST(height AS BIGINT) AS height FROM k WHERE NOT (across AND ratio > 1.16) UNION ALL SELECT page_id, i, CASE i WHEN 0 THEN 'b' ELSE 'c' END, width // 2, height FROM k, (VALUES (0), (1)) v(i) WHERE across AND ratio > 1.16 AND ratio < 1.8 UNION ALL SELECT page_id, 0, 'd', height, width FROM k WHERE across AND ratio >= 1.8",
     "ref_spread_both": f"WITH {_FRAMED}, k AS (SELECT *, {_RATIO} AS ratio, {_ACROSS} AS across FROM framed), u AS (SELECT 'x' AS order_class, CAST(width AS BIGINT) AS w, CAST(height AS BIGINT) AS h FROM k WHERE NOT (across AND ratio > 1.16) UNION ALL SELECT CASE i WHEN 0 THEN 'b' ELSE 'c' END, width // 2, height FROM k, (VALUES (0), (1)) v(i) WHERE across AND ratio > 1.16 AND ratio < 1.8 UNION ALL SELECT 'd', height, width FROM k WHERE across AND ratio > 1.16) SELECT order_class, count(*) AS n, CAST(sum(w) AS BIGINT) AS width, CAST(sum(h) AS BIGINT) AS height FROM u GROUP BY order_class",
     "ref_halved_parts": f"WITH RECURSIVE {_PAGES}, s(page_id, w, top, h) AS (SELECT page_id, CAST(width AS BIGINT), CAST(0 AS BIGINT), CAST(height AS BIGINT) FROM pages_once WHERE width > 0 AND height > 0 UNION ALL SELECT page_id, w, CASE i WHEN 0 THEN top ELSE top + h // 2 END, CASE i WHEN 0 THEN h // 2 ELSE h - h // 2 END FROM s, (VALUES (0), (1)) v(i) WHERE w * h >= 600000 AND h > 1) SELECT page_id, top, h AS height FROM s WHERE NOT (w * h >= 600000 AND h > 1)",
@@ -525,6 +530,13 @@ SELECT label, CAST(sum(CASE WHEN blacks = 0 THEN -area WHEN blacks = area THEN a
     "ref_sniff": f"WITH {_ENTRIES}, h AS (SELECT hex(content) AS h, name, src FROM entries_once), k AS (SELECT CASE WHEN starts_with(h, '504B0304') OR starts_with(h, '504B0506') THEN 'zip' WHEN starts_with(h, '526172211A07') THEN 'rar' WHEN starts_with(h, '377ABCAF271C') THEN '7z' WHEN substr(h, 515, 10) = '7573746172' THEN 'tar' WHEN starts_with(h, '25504446') THEN 'pdf' ELSE CASE WHEN lower(regexp_extract(name, '([^/]*)$', 1)) SIMILAR TO '.+\\.(zip|cbz|epub)' THEN 'zip' WHEN lower(regexp_extract(name, '([^/]*)$', 1)) SIMILAR TO '.+\\.(tar|cbt)' THEN 'tar' WHEN lower(regexp_extract(name, '([^/]*)$', 1)) SIMILAR TO '.+\\.(rar|cbr)' THEN 'rar' WHEN lower(regexp_extract(name, '([^/]*)$', 1)) SIMILAR TO '.+\\.(7z|cb7)' THEN '7z' END END AS entry_kind, CASE WHEN lower(regexp_extract(src, '([^/]*)$', 1)) SIMILAR TO '.+\\.(zip|cbz|epub)' THEN 'zip' WHEN lower(regexp_extract(src, '([^/]*)$', 1)) SIMILAR TO '.+\\.(tar|cbt)' THEN 'tar' WHEN lower(regexp_extract(src, '([^/]*)$', 1)) SIMILAR TO '.+\\.(rar|cbr)' THEN 'rar' WHEN lower(regexp_extract(src, '([^/]*)$', 1)) SIMILAR TO '.+\\.(7z|cb7)' THEN '7z' END AS source_kind FROM h) SELECT entry_kind, source_kind, count(*) AS n FROM k GROUP BY ALL UNION ALL VALUES ('zip', 'zip', -1), ('zip', 'empty zip', -1), ('rar', 'rar', -1), ('rar', 'rar 5', -1), ('7z', '7z', -1), ('pdf', 'pdf', -1), (NULL, 'none', -1), ('tar', 'tar', -1)",
     "ref_matching_root": f"WITH {_NORMAL}, r AS (SELECT src, CASE WHEN count(DISTINCT string_split(path, '/')[1]) FILTER (NOT {_JUNK}) = 1 AND NOT coalesce(bool_or(NOT folder AND path NOT LIKE '%/%') FILTER (NOT {_JUNK}), false) THEN min(string_split(path, '/')[1]) FILTER (NOT {_JUNK}) END AS root FROM normal WHERE path IS NOT NULL GROUP BY src), m AS (SELECT book_id, max(series) AS series FROM book_meta WHERE book_id IS NOT NULL GROUP BY book_id), b AS (SELECT src, root, {_BARE.format('root')} AS x, {_BARE.format('r.book')} AS y, {_BARE.format('series')} AS z FROM (SELECT *, regexp_extract(src, '^(.*)\\.[^.]*$', 1) AS book FROM r WHERE root IS NOT NULL) r LEFT JOIN m ON r.book = m.book_id) SELECT src, root, coalesce(x <> '' AND y <> '' AND (contains(y, x) OR contains(x, y)), false) OR coalesce(x <> '' AND z <> '' AND (contains(z, x) OR contains(x, z)), false) AS matches FROM b",
     "ref_folder_order": f"WITH {_NORMAL}, f AS (SELECT DISTINCT src, regexp_replace(path, '(^|/)[^/]*$', '') AS dir FROM normal WHERE path IS NOT NULL) SELECT src, dir, row_number() OVER (PARTITION BY src ORDER BY CASE WHEN dir = '' THEN [] ELSE list_transform(string_split(dir, '/'), lambda name: {_NATKEY}) END, dir) AS rank FROM f",
+    "ref_bookmarks": f"""WITH RECURSIVE {_ENC}, o AS (SELECT book_id, row_number() OVER w AS r, CAST(sum(CASE WHEN order_class = 'b' THEN 1 ELSE 0 END) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS nb FROM enc WINDOW w AS (PARTITION BY book_id ORDER BY chapter_ord, page_ord, sub_ord, enc_id)), cum AS (SELECT * FROM o UNION ALL SELECT DISTINCT book_id, 0, 0 FROM o), n AS (SELECT book_id, max(r) AS pages FROM o GROUP BY book_id),
+meta AS (SELECT book_id, bookmarks FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY resolved_at DESC) AS a FROM book_meta) WHERE a = 1 AND book_id IS NOT NULL), marks AS (SELECT book_id, unnest(range(1, len(bookmarks) + 1)) AS k, unnest(bookmarks) AS m FROM meta JOIN n USING (book_id)),
+s(book_id, k, shift, image, kept, title) AS (SELECT DISTINCT book_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), false, '' FROM marks UNION ALL SELECT m.book_id, m.k, coalesce(nb, 0), m.m.image + nb, coalesce(m.m.image + s.shift < pages AND m.m.image + nb < pages AND m.m.image >= 0, false), m.m.title FROM s JOIN marks m ON m.book_id = s.book_id AND m.k = s.k + 1 JOIN n ON n.book_id = m.book_id LEFT JOIN cum ON cum.book_id = m.book_id AND cum.r = greatest(least(m.m.image + s.shift + 1, pages), 0))
+SELECT book_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY k) - 1 AS INT) AS mark, CAST(image AS INT) AS image, title FROM s WHERE kept""",
+    "ref_unique_slugs": f"""WITH RECURSIVE {_PAGES}, c0 AS (SELECT DISTINCT book_id, chapter FROM pages_once WHERE chapter <> ''), c1 AS (SELECT *, {_SLUG.format('chapter')} AS plain FROM c0), c AS (SELECT book_id, chapter, {_PAD.format('plain')} AS slug, row_number() OVER (PARTITION BY book_id ORDER BY {_NATKEY.replace('lower(name)', 'lower(chapter)')}, chapter) AS k FROM c1),
+s(book_id, k, used, chapter, unique_slug) AS (SELECT DISTINCT book_id, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), '', '' FROM c UNION ALL SELECT book_id, k, list_append(used, own), chapter, own FROM (SELECT c.book_id, c.k, s.used, c.chapter, c.slug || repeat('A', list_filter(range(0, len(s.used) + 1), lambda j: NOT list_contains(s.used, c.slug || repeat('A', j)) OR upper(c.chapter) = upper(c.slug || repeat('A', j)))[1]) AS own FROM s JOIN c ON c.book_id = s.book_id AND c.k = s.k + 1))
+SELECT book_id, chapter, unique_slug FROM s WHERE k > 0""",
     "ref_merge_boxes": "WITH p AS (SELECT page_id, any_value(panels) AS panels FROM pages WHERE panels IS NOT NULL GROUP BY page_id), u AS (SELECT page_id, unnest(range(len(panels))) AS k, unnest(panels) AS u FROM p), b AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN k % 3 ELSE 0 END AS part, k % 3 * 100 AS x1, k % 3 * 100 + CASE WHEN page_id % 2 = 0 THEN 90 ELSE 290 END AS x2, CAST(u.top AS BIGINT) AS a, CAST(u.bottom AS BIGINT) AS b FROM u WHERE u.top < u.bottom), m AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY page_id, part ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM b), r AS (SELECT *, sum(opens) OVER (PARTITION BY page_id, part ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS run FROM m) SELECT page_id, CAST(min(x1) AS BIGINT) AS x1, CAST(max(x2) AS BIGINT) AS x2, min(a) AS y1, max(b) AS y2 FROM r GROUP BY page_id, part, run",
     "ref_image_header": f"WITH {_ENTRIES}, h AS (SELECT entry_id, hex(content) AS h FROM entries_once WHERE content IS NOT NULL) SELECT entry_id, CASE WHEN starts_with(h, '89504E470D0A1A0A') THEN TRY_CAST('0x' || nullif(substr(h, 33, 8), '') AS BIGINT) END AS width, CASE WHEN starts_with(h, '89504E470D0A1A0A') THEN TRY_CAST('0x' || nullif(substr(h, 41, 8), '') AS BIGINT) END AS height FROM h",
 }
