@@ -150,10 +150,10 @@ def overlap_parts(top: Column, bottom: Column, view: int) -> Column:
     return F.when(_d(h) <= view * KEEP_RATIO, F.array(part(top, bottom))).when(_d(h) <= view * HALVES_RATIO, two).otherwise(many)
 
 
-def halved_parts(w: Column, h: Column, limit: int, rounds: int = 24) -> Column:
+def halved_parts(w: Column, h: Column, limit: int) -> Column:
     """Parts (top, height) of an image halved crosswise until each has fewer than ``limit`` pixels or one row.
 
-    The upper half of an odd height is the smaller one.  ``rounds`` bounds the halvings: 2^24 rows.
+    The upper half of an odd height is the smaller one.  The number of halvings follows from the height.
     """
     first = F.array(F.struct(F.lit(0).cast("long").alias("top"), h.cast("long").alias("height")))
 
@@ -165,7 +165,7 @@ def halved_parts(w: Column, h: Column, limit: int, rounds: int = 24) -> Column:
 
         return F.flatten(F.transform(parts, cut))
 
-    needed = F.greatest(F.lit(0), F.least(F.lit(rounds), F.ceil(F.log2(F.greatest(h.cast("double"), F.lit(1.0)))).cast("int") + 1))
+    needed = F.ceil(F.log2(F.greatest(h.cast("double"), F.lit(1.0)))).cast("int") + 1
     return F.aggregate(F.sequence(F.lit(1), F.greatest(needed, F.lit(1))), first, halve)
 
 

@@ -203,19 +203,63 @@ def without_moire(plane: np.ndarray, angle: float = 10.0, low: float = 0.30, dam
 
 
 def dither(plane: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """Index of the nearest level of each sample, the error passed on to its neighbours (Floyd-Steinberg)."""
+    """Index of the nearest level of each sample, the error passed on to its neighbours (Floyd-Steinberg).
+
+    A sample waits for those before it in its row and for those of the row above up to one beyond it, so
+    all samples with the same x + 2y are done at once.
+    """
     levels = np.asarray(levels, np.float64)
     h, w = plane.shape
     out = np.zeros((h, w), np.uint8)
     carried = np.pad(plane.astype(np.float64), ((0, 1), (1, 1)))
-    for y in range(h):
-        row, below = carried[y], carried[y + 1]
-        for x in range(1, w + 1):
-            k = int(np.argmin(np.abs(levels - row[x])))
-            error = row[x] - levels[k]
-            out[y, x - 1] = k
-            row[x + 1] += error * 7 / 16
-            below[x - 1] += error * 3 / 16
-            below[x] += error * 5 / 16
-            below[x + 1] += error / 16
+    for step in range(w + 2 * (h - 1)):
+        y = np.arange(max(0, -(-(step - w + 1) // 2)), min(h, step // 2 + 1))
+        x = step - 2 * y + 1
+        value = carried[y, x]
+        k = np.abs(levels[None, :] - value[:, None]).argmin(1)
+        error = value - levels[k]
+        out[y, x - 1] = k
+        carried[y, x + 1] += error * 7 / 16
+        carried[y + 1, x - 1] += error * 3 / 16
+        carried[y + 1, x] += error * 5 / 16
+        carried[y + 1, x + 1] += error / 16
     return out
+
+
+def to_yuv(pixels: np.ndarray) -> np.ndarray:
+    """Luma and the two colour differences, analogue scaling, as floats."""
+    r, g, b = (pixels[..., k].astype(np.float64) for k in range(3))
+    y = 0.299 * r + 0.587 * g + 0.114 * b
+    return np.stack([y, (b - y) * 0.492, (r - y) * 0.877], axis=-1)
+
+
+def from_yuv(yuv: np.ndarray) -> np.ndarray:
+    """The image of a luma and its colour differences."""
+    y, u, v = (yuv[..., k] for k in range(3))
+    r, b = y + v / 0.877, y + u / 0.492
+    return half_up(np.stack([r, (y - 0.299 * r - 0.114 * b) / 0.587, b], axis=-1))
+
+
+def erase_moire(pixels: np.ndarray) -> np.ndarray:
+    """An image whose luma has no high diagonal frequencies; its colours stay."""
+    if pixels.ndim == 2:
+        return without_moire(pixels)
+    yuv = to_yuv(pixels)
+    yuv[..., 0] = without_moire(half_up(yuv[..., 0]))
+    return from_yuv(yuv)
+
+
+def keep_tone_contrast(pixels: np.ndarray, least: int = 0) -> np.ndarray:
+    """All channels stretched by the range of the luma; unchanged if that is less than ``least`` or nothing."""
+    luma = pixels if pixels.ndim == 2 else gray(pixels)
+    low, high = int(luma.min()), int(luma.max())
+    return pixels if high - low < max(1, least) else stretch(pixels, low, high)
+
+
+def raise_black(pixels: np.ndarray) -> np.ndarray:
+    """Luma below the most common dark value raised to it."""
+    if pixels.ndim == 2:
+        return np.maximum(pixels, black_point(pixels)).astype(np.uint8)
+    ycc = to_ycc(pixels)
+    ycc[..., 0] = np.maximum(ycc[..., 0], black_point(ycc[..., 0]))
+    return from_ycc(ycc)

@@ -63,3 +63,57 @@ def fit_pages(pages: DataFrame, width: int, height: int) -> DataFrame:
     large = pages.where(~fits).withColumn("content", transform(F.col("content"), shrink)).withColumn("size", size)
     large = large.withColumn("width", F.col("size.width").cast("int")).withColumn("height", F.col("size.height").cast("int")).drop("size")
     return pages.where(fits).unionByName(large)
+
+
+#: Pages whose luma spans less than this are meant to be pale.
+PALE = 255 - 3 * 32
+
+
+def prepared(pixels: np.ndarray, work) -> np.ndarray:
+    """One page after all work on it, in the order in which it is stated; a page that stays grey has one channel."""
+    if work.crop:
+        left, top, right, bottom = kernels.margin_box(pixels, work.crop_power)
+        pixels = pixels[top:bottom, left:right]
+    coloured = kernels.is_colour(pixels)
+    if work.gamma != 1.0:
+        pixels = kernels.gamma(pixels, work.gamma)
+    if not (coloured and work.colour) and pixels.ndim == 3:
+        pixels = kernels.gray(pixels)
+    if work.contrast and not coloured:
+        luma = pixels if pixels.ndim == 2 else kernels.gray(pixels)
+        if int(luma.max()) - int(luma.min()) >= PALE:
+            pixels = kernels.keep_tone_contrast(kernels.raise_black(pixels) if work.level else pixels)
+    h, w = pixels.shape[:2]
+    scale = min(work.width / w, work.height / h)
+    if scale < 1 or (work.upscale and scale > 1):
+        pixels = kernels.resize(pixels, max(1, int(w * scale + 0.5)), max(1, int(h * scale + 0.5)))
+    if work.moire and min(pixels.shape[:2]) > 1:
+        pixels = kernels.erase_moire(pixels)
+    return pixels
+
+
+def encoded(pixels: np.ndarray, levels: int) -> bytes:
+    """A PNG; a grey page in so many levels, with as few bits a sample as they need, if levels are given."""
+    if levels and pixels.ndim == 2:
+        tones = np.round(np.linspace(0, 255, levels)).astype(np.uint8)
+        bits = 1 if levels <= 2 else 2 if levels <= 4 else 4 if levels <= 16 else 8
+        return png.encode(kernels.dither(pixels, tones), np.repeat(tones[:, None], 3, 1), bits)
+    return png.encode(pixels)
+
+
+def worked_pages(pages: DataFrame, work) -> DataFrame:
+    """Pages (path, content and others) with all work done in one decode each; what can't be decoded here goes through as it is."""
+
+    @F.pandas_udf("binary")
+    def done(blobs: pd.Series) -> pd.Series:
+        def one(blob):
+            try:
+                return encoded(prepared(png.decode(blob or b""), work), work.levels)
+            except ValueError:
+                return None
+
+        return blobs.map(one)
+
+    made = pages.withColumn("_made", done("content"))
+    path = F.when(F.col("_made").isNotNull(), F.regexp_replace("path", r"(?<=[^/])\.[^./]*$", ".png")).otherwise(F.col("path"))
+    return made.withColumn("path", path).withColumn("content", F.coalesce("_made", "content")).drop("_made")

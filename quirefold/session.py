@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,12 +41,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder of ``spark.checkpoint.dir``.
+    """Materialise ``df`` in the shared folder of ``spark.checkpoint.dir``; a lost executor then costs a reread, never a recomputation."""
+    _shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
-    The folder comes from the session.  Only where none is set (tests, a single machine) a
-    temporary one is made; a lost executor then costs a reread, never a recomputation.
-    """
+
+def written_table(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: like ``cut_lineage``, but columns that aren't used aren't read back."""
     spark = df.sparkSession
+    place = f"{_shared_folder(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return spark.read.schema(df.schema).parquet(place)
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, set once for the context.
+
+    It comes from the session.  Only where none is set (tests, a single machine) a temporary one is made.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -56,4 +69,4 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = os.path.join(tempfile.gettempdir(), "quirefold-checkpoints")
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()

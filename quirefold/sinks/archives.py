@@ -105,17 +105,17 @@ def write_books(entries: DataFrame, folder: str, kind: str, book: str = "book_id
     """One container per book; the frame returned (book, path, n_entries, bytes) does the writing when it is evaluated.
 
     Names are normalised and entries whose name is nothing then are left out; a null content is a
-    folder.  A null book is written as ``book``.
+    folder.  Slashes in a book's name are written as %2F, and a null book as %book, so no two books share a file.
     """
     _ = SUFFIX[kind] if kind in SUFFIX else _writer(kind, "")
     arrow = to_arrow_schema(StructType.fromDDL(WRITTEN))
-    kept = entries.select(F.coalesce(F.col(book).cast("string"), F.lit("book")).alias("book"), *[F.col(o).alias(f"o{k}") for k, o in enumerate(order)], normalize_path(F.col(name)).alias("name"), F.col(content).cast("binary").alias("content"))
+    kept = entries.select(F.coalesce(F.replace(F.replace(F.col(book).cast("string"), F.lit("%"), F.lit("%25")), F.lit("/"), F.lit("%2F")), F.lit("%book")).alias("book"), *[F.col(o).alias(f"o{k}") for k, o in enumerate(order)], normalize_path(F.col(name)).alias("name"), F.col(content).cast("binary").alias("content"))
     kept = kept.where("name is not null")
     n = len(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(key: str, place: str, count: int) -> pa.RecordBatch:
-            target = os.path.join(folder, key.replace("/", "_") + SUFFIX[kind])
+            target = os.path.join(folder, key + SUFFIX[kind])
             if os.path.isdir(target):
                 shutil.rmtree(target)
             os.replace(place, target)

@@ -18,7 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from quirefold.functions.text import base_name, extension, is_book_image, is_directory, is_junk, is_metadata, natural_key, normalize_path, parent
+from quirefold.functions.naming import strip_prefix
+from quirefold.functions.text import base_name, extension, folder_key, is_book_image, is_directory, is_junk, is_metadata, natural_key, normalize_path, parent, stem
+from quirefold.operators.ordering import number_rows, runs
+from quirefold.session import written_table
 
 ENTRIES = "src string, kind string, pos int, name string, is_dir boolean, content binary, error string"
 #: Containers that no library here can read; they give an error row.
@@ -127,20 +130,34 @@ def pages_of(entries: DataFrame) -> DataFrame:
     """Pages of each source in reading order: src, chapter, chapter_ord, page_ord, path, content.
 
     A folder that all pages of a source share is stripped.  Chapters are runs of neighbouring pages of
-    one folder after the natural sort, so folders that differ only in case can alternate.
+    one folder after the natural sort, so folders that differ only in case can alternate.  Entries are
+    unpacked once into the shared folder; only their names are sorted, and the bytes joined last.
     """
-    from pyspark.sql import Window
-
-    from quirefold.functions.text import folder_key
-
-    pages = classify(entries).where("role = 'page'")
-    by = Window.partitionBy("src")
+    clean = written_table(classify(entries).where("role = 'page'").select("src", "pos", "path", "content"))
     top = F.when(F.col("path").contains("/"), F.element_at(F.split("path", "/"), 1)).otherwise("")
-    pages = pages.withColumn("top", top)
-    shared = (F.min("top").over(by) == F.max("top").over(by)) & (F.min("top").over(by) != "")
-    pages = pages.withColumn("path", F.when(shared, F.expr("substring(path, length(top) + 2)")).otherwise(F.col("path")))
-    pages = pages.withColumn("chapter", parent(F.col("path")))
-    order = Window.partitionBy("src").orderBy(folder_key(F.col("chapter")), natural_key(base_name(F.col("path"))), "path")
-    placed = pages.withColumn("page_ord", F.row_number().over(order)).withColumn("changes", (~F.col("chapter").eqNullSafe(F.lag("chapter").over(order))).cast("int"))
-    placed = placed.withColumn("chapter_ord", F.sum("changes").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return placed.select("src", "chapter", "chapter_ord", "page_ord", "path", "content")
+    names = clean.select("src", "pos", "path", top.alias("top"))
+    tops = names.groupBy("src").agg(F.min("top").alias("least"), F.max("top").alias("most"))
+    shared = tops.where("least = most and least <> ''").select("src", F.col("least").alias("root"))
+    bare = names.join(shared, "src", "left").withColumn("full", F.col("path")).withColumn("path", F.coalesce(strip_prefix(F.col("path"), F.col("root")), F.col("path")))
+    keyed = bare.select("src", "pos", "full", "path", parent(F.col("path")).alias("chapter")).withColumn("folder", folder_key(F.col("chapter"))).withColumn("natkey", natural_key(base_name(F.col("path"))))
+    marked = runs(keyed, ["src"], ["folder", "natkey", "path", "pos"], "chapter", "chapter_ord")
+    placed = number_rows(marked, ["src"], ["folder", "natkey", "path", "pos"], "page_ord")
+    placed = placed.select("src", "chapter", (F.col("chapter_ord") + 1).alias("chapter_ord"), F.col("page_ord").cast("int").alias("page_ord"), "path", F.col("pos").alias("_pos"), "full")
+    body = clean.select(F.col("src").alias("_src"), F.col("pos").alias("_p"), F.col("path").alias("_full"), "content")
+    met = placed.join(body, (F.col("src") == F.col("_src")) & F.col("_pos").eqNullSafe(F.col("_p")) & (F.col("full") == F.col("_full")))
+    return met.select("src", "chapter", "chapter_ord", "page_ord", "path", "content")
+
+
+def book_names(sources: DataFrame, src: str = "src") -> DataFrame:
+    """A name for each source (src, book_id): its file's stem, with a number behind it from the second source of that stem on."""
+    each = sources.select(F.col(src).alias("src")).where("src is not null").distinct().withColumn("stem", stem(base_name(F.col("src"))))
+    placed = number_rows(each, ["stem"], ["src"], "k")
+    # A stem that looks like a numbered one gets a number as well, so no two names can be equal.
+    numbered = F.format_string("%s~%d", "stem", "k")
+    return placed.select("src", F.when((F.col("k") == 1) & ~F.col("stem").rlike(r"~\d+$"), F.col("stem")).otherwise(numbered).alias("book_id"))
+
+
+def comic_infos(entries: DataFrame) -> DataFrame:
+    """The metadata document of each source: src, content; of several the one nearest the root."""
+    found = classify(entries).where("role = 'metadata'").select("src", "content", F.struct(F.size(F.split("path", "/")), "path", "pos").alias("at"))
+    return found.groupBy("src").agg(F.min_by("content", "at").alias("content"))

@@ -97,7 +97,7 @@ def test_jobs(spark, shelf, tmp_path):
     ebook(spark, f"{shelf}/book.cbz", str(tmp_path / "e"), Options(kind="epub"), books).collect()
     with zipfile.ZipFile(tmp_path / "e" / "book.epub") as z:
         assert z.namelist()[0] == "mimetype" and z.read("mimetype") == b"application/epub+zip"
-        assert b"A &amp; B" in z.read("OEBPS/content.opf") and z.read("OEBPS/nav.xhtml").count(b"<li>") == 3
+        assert b"A &amp; B" in z.read("EPUB/package.opf") and z.read("EPUB/contents.xhtml").count(b"<li>") == 3
     pages = epub_pages(read_archives(spark, str(tmp_path / "e" / "book.epub"))).orderBy("page_ord").collect()
     assert [size_of(bytes(r.content)) for r in pages] == [FILES["Root/" + p] for p in ORDER]
     with pytest.raises(ValueError):
