@@ -115,3 +115,29 @@ def test_navigation(spark):
     pages = spark.createDataFrame([("b", n, c) for n, c in enumerate("xbcxbcx", 1)], "book_id string, n int, order_class string")
     infos = spark.createDataFrame([("b", [(0, "start"), (2, "mid"), (99, "out")])], "book_id string, bookmarks array<struct<image:int,title:string>>")
     assert [(r.mark, r.image, r.title, r.page) for r in navigation(pages, infos).orderBy("mark").collect()] == [(0, 0, "start", "cb-0001"), (1, 3, "mid", "cb-0004")]
+
+
+def test_sources_of_any_kind(spark, tmp_path):
+    from quirefold.sources.books import list_archives, load_pages
+
+    box(str(tmp_path / "in/x.cbz"), ["c/1.png", "c/2.png"])
+    box(str(tmp_path / "in/plain.epub"), ["p/1.png"])
+    box(str(tmp_path / "in/none.cbz"), [])
+    with zipfile.ZipFile(tmp_path / "in/notes.cbz", "w") as z:
+        z.writestr("a.txt", "no page")
+    body = b"\xff\xd8" + b"j" * 400 + b"\xff\xd9"
+    (tmp_path / "in/doc.pdf").write_bytes(b"%PDF-1.4\nobj stream\n" + body + b"\nendstream\n")
+    (tmp_path / "in/old.cbr").write_bytes(b"Rar!\x1a\x07\x00rest")
+    ebook(spark, str(tmp_path / "in/x.cbz"), str(tmp_path / "in"), Options(kind="epub")).collect()
+    got = {}
+    for r in load_pages(spark, str(tmp_path / "in")).collect():
+        got.setdefault(os.path.basename(r.src), []).append((r.kind, r.path, r.error))
+    assert len(got["x.cbz"]) == 2 and len(got["x.epub"]) == 2 and got["x.epub"][0][0] == "epub"
+    assert got["plain.epub"] == [("epub", "1.png", None)] and got["doc.pdf"] == [("pdf", "00001.jpg", None)]
+    assert got["notes.cbz"][0][2] == "no pages" and got["none.cbz"][0][2] == "no pages" and "unsupported" in got["old.cbr"][0][2]
+    with pytest.raises(Exception, match="no pages|unsupported"):
+        load_pages(spark, str(tmp_path / "in"), strict=True).collect()
+    listed = {}
+    for r in list_archives(spark, str(tmp_path / "in/*.cb*")).collect():
+        listed.setdefault(os.path.basename(r.src), []).append((r.name, r.error))
+    assert [n for n, _ in listed["x.cbz"]] == ["c/1.png", "c/2.png"] and listed["old.cbr"][0][1] == "unsupported container"
