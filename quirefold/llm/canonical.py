@@ -17,7 +17,7 @@ from functools import lru_cache
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Look-alike letters and the Latin letters they are taken for.
@@ -61,8 +61,18 @@ def _quick_check() -> tuple[list[tuple[int, int]], frozenset[str]]:
 # What the quick check looks for; the same class runs on the JVM, where most rows end.
 _RANGES, _JOINING = _quick_check()
 _UNSTABLE = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in _RANGES)
-# The JVM tries the ranges one by one, so what is plain ASCII is passed over first.
-QUICK_CHECK_JVM = f"(?s)[`[^\\x00-\\x7f]&&[{_UNSTABLE}]]|[\\p{{IsCyrillic}}\\p{{IsGreek}}].*\\p{{IsLatin}}|\\p{{IsLatin}}.*[\\p{{IsCyrillic}}\\p{{IsGreek}}]"
+
+
+def needs_look(text: Column) -> Column:
+    """Whether a text may be unstable: most are plain ASCII and settled by the first, cheapest test.
+
+    Each test reads a text once; the class of the quick check comes last, for the JVM tries its ranges one by one.
+    """
+    odd = text.rlike(r"[`[^\x00-\x7f]]")
+    mixed = text.rlike(r"[\p{IsCyrillic}\p{IsGreek}]") & text.rlike(r"\p{IsLatin}")
+    return odd & (mixed | text.rlike(f"[`[^\\x00-\\x7f]&&[{_UNSTABLE}]]"))
+
+
 _QUICK = re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _RANGES) + "]")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{Cf}]+(?:['’ʼʹ＇-][\p{L}\p{M}\p{Cf}]+)*")
 _LATIN, _CYRILLIC, _GREEK = regex.compile(r"\p{Latin}"), regex.compile(r"\p{Cyrillic}"), regex.compile(r"\p{Greek}")
@@ -209,8 +219,8 @@ def canonical_fields(df: DataFrame, key: str, fields: Sequence[str]) -> DataFram
     def plain(texts: pd.Series) -> pd.Series:
         return texts.map(canonical)
 
-    quick = F.col("original").rlike(QUICK_CHECK_JVM)
-    stable = cells.where(~quick).select("*", F.col("original").alias("plain"))
-    unstable = cells.where(quick).select("*", plain("original").alias("plain"))
-    rows = stable.unionByName(unstable)
-    return rows.select(F.col("row_key").alias(key), "field_name", "original", "plain", (F.col("plain") != F.col("original")).alias("changed"))
+    quick = needs_look(F.col("original"))
+    # A constant here lets a search for changed values leave this branch out.
+    stable = cells.where(~quick).select("*", F.col("original").alias("plain"), F.lit(False).alias("changed"))
+    unstable = cells.where(quick).select("*", plain("original").alias("plain")).withColumn("changed", F.col("plain") != F.col("original"))
+    return stable.unionByName(unstable).select(F.col("row_key").alias(key), "field_name", "original", "plain", "changed")
