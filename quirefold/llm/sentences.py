@@ -290,6 +290,13 @@ for _name in _OF_SCRIPT["Cased"]:
         _FREQUENT.setdefault(_w, []).append(_name)
 
 
+@lru_cache(maxsize=64)
+def _kept_words(language: str) -> frozenset[str]:
+    """Words of four letters and more that a full stop behind need not end the sentence after."""
+    found = _words("Cased", language)
+    return frozenset(w.replace("\\", "") for kind in ("title", "inside", "number", "last", "months") for w in found.get(kind, "").split("|"))
+
+
 @lru_cache(maxsize=256)
 def _compiled(script: str, case: str, language: str):
     """The cascade for a script, letter case and language: (cut, pattern, kind) in order.
@@ -322,6 +329,8 @@ def _compiled(script: str, case: str, language: str):
 
 _SCRIPT_COUNTS = [(name, regex.compile(pattern)) for name, pattern in _SCRIPTS]
 _GREEK_END = regex.compile(r"\p{Greek}[»”]?$")
+_NEXT_CAPITAL = regex.compile(r"(?<=[.!?])\s+\p{Lu}")
+_FULL_WORD = regex.compile(r"(?<=\s)\p{L}{4,}", regex.REVERSE)
 _SOLID = regex.compile(r"\S|$")
 #: A speaker or another label that opens a sentence.
 _LABEL = regex.compile(r"^\s*[^.:!?。！？]{1,40}[:：]\s*$")
@@ -336,6 +345,9 @@ def _letter(ch: str) -> tuple[int, bool, bool]:
 
 def look_of(text: str) -> tuple[str, str]:
     """The script most letters of a text have, and its case: normal, caps (hardly a small letter), small (no capital), or empty."""
+    cased = len(_SCRIPTS) - 1
+    if text.isascii():
+        return _SCRIPTS[cased][0], _case(len(text) - len(text.translate(_NO_CAPITALS)), len(text) - len(text.translate(_NO_SMALL)))
     counts, upper, lower = [0] * len(_SCRIPTS), 0, 0
     for ch, n in Counter(text).items():
         script, is_upper, is_lower = _letter(ch)
@@ -343,15 +355,20 @@ def look_of(text: str) -> tuple[str, str]:
             counts[script] += n
         upper += n * is_upper
         lower += n * is_lower
-    cased = len(_SCRIPTS) - 1
     most = max(counts)
     best = counts.index(most) if most else cased
     if best == cased:
         # Names in Latin letters don't make a text of another script a Latin one.
         others = max(counts[:-1])
         best = counts.index(others) if others and others * 3 >= most else cased
-    case = "" if upper + lower < 12 else "caps" if upper >= 9 * lower else "small" if upper == 0 else "normal"
-    return _SCRIPTS[best][0], case
+    return _SCRIPTS[best][0], _case(upper, lower)
+
+
+def _case(upper: int, lower: int) -> str:
+    return "" if upper + lower < 12 else "caps" if upper >= 9 * lower else "small" if upper == 0 else "normal"
+
+
+_NO_CAPITALS, _NO_SMALL = (dict.fromkeys(range(ord(a), ord(a) + 26)) for a in "Aa")
 
 
 def is_wrapped(text: str) -> bool:
@@ -422,6 +439,8 @@ def _cuts(text: str, script: str, case: str, language: str) -> Iterator[int]:
         return depths[k] if k >= 0 else 0
 
     rules = _compiled(script, case, language)
+    # A full word that is no abbreviation, a mark, a blank and a capital: of all rules only the last one can match.
+    kept = _kept_words(language) if script == "Cased" and case == "normal" else None
     addresses = _addresses(text)
 
     def in_address(i: int) -> bool:
@@ -452,6 +471,12 @@ def _cuts(text: str, script: str, case: str, language: str) -> Iterator[int]:
                     continue  # a bracket inside a sentence
         if end > last:
             return
+        if kept is not None and mark is not None and end == mark.end() and _NEXT_CAPITAL.match(text, end):
+            word = _FULL_WORD.match(text, start, m.start())
+            if word is not None and word.group().lower() not in kept:
+                yield end
+                start = end
+                continue
         for cut, pattern, kind in rules:
             if kind == "inside":
                 if not in_address(end):
