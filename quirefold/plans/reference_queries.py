@@ -9,7 +9,7 @@ from quirefold.functions import geometry as G
 from quirefold.functions import layout as L
 from quirefold.functions import text as T
 from quirefold.operators import folds, grids, grouping
-from quirefold.operators.ordering import Ordered, number_rows
+from quirefold.operators.ordering import Ordered
 from quirefold.session import table
 from quirefold.sources.archives import sniff_kind
 from quirefold.sources.headers import image_size
@@ -158,9 +158,9 @@ def ref_event_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sides(spark: SparkSession, d: str, right_to_left: bool) -> DataFrame:
-    pages = number_rows(_encoded(spark, d).select("book_id", *ENC_ORDER, "order_class"), ["book_id"], ENC_ORDER, "n").withColumn("i", F.col("n") - 1).withColumn("back", -F.col("i"))
     whole = F.col("order_class") == "x"
-    behind = Ordered(pages, ["book_id"], ["i"]).highest("pv", F.when(~whole, F.col("i"))).frame()
+    pages = Ordered(_encoded(spark, d).select("book_id", *ENC_ORDER, "order_class"), ["book_id"], ENC_ORDER)
+    behind = pages.number("n").highest("pv", F.when(~whole, F.col("n") - 1)).frame().withColumn("i", F.col("n") - 1).withColumn("back", -F.col("i"))
     placed = Ordered(behind, ["book_id"], ["back"]).highest("nx", F.when(~whole, F.col("back"))).frame().withColumn("nx", -F.col("nx"))
     side = G.spread_side(F.col("order_class"), F.col("i"), F.col("nx"), F.col("pv"), right_to_left, "right" if right_to_left else "left")
     return placed.select("enc_id", side.alias("side"))
