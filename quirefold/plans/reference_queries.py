@@ -537,6 +537,6 @@ SELECT book_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY k) - 1 AS
     "ref_unique_slugs": f"""WITH RECURSIVE {_PAGES}, c0 AS (SELECT DISTINCT book_id, chapter FROM pages_once WHERE chapter <> ''), c1 AS (SELECT *, {_SLUG.format('chapter')} AS plain FROM c0), c AS (SELECT book_id, chapter, {_PAD.format('plain')} AS slug, row_number() OVER (PARTITION BY book_id ORDER BY {_NATKEY.replace('lower(name)', 'lower(chapter)')}, chapter) AS k FROM c1),
 s(book_id, k, used, chapter, unique_slug) AS (SELECT DISTINCT book_id, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), '', '' FROM c UNION ALL SELECT book_id, k, list_append(used, own), chapter, own FROM (SELECT c.book_id, c.k, s.used, c.chapter, c.slug || repeat('A', list_filter(range(0, len(s.used) + 1), lambda j: NOT list_contains(s.used, c.slug || repeat('A', j)) OR upper(c.chapter) = upper(c.slug || repeat('A', j)))[1]) AS own FROM s JOIN c ON c.book_id = s.book_id AND c.k = s.k + 1))
 SELECT book_id, chapter, unique_slug FROM s WHERE k > 0""",
-    "ref_merge_boxes": "WITH p AS (SELECT page_id, any_value(panels) AS panels FROM pages WHERE panels IS NOT NULL GROUP BY page_id), u AS (SELECT page_id, unnest(range(len(panels))) AS k, unnest(panels) AS u FROM p), b AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN k % 3 ELSE 0 END AS part, k % 3 * 100 AS x1, k % 3 * 100 + CASE WHEN page_id % 2 = 0 THEN 90 ELSE 290 END AS x2, CAST(u.top AS BIGINT) AS a, CAST(u.bottom AS BIGINT) AS b FROM u WHERE u.top < u.bottom), m AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY page_id, part ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM b), r AS (SELECT *, sum(opens) OVER (PARTITION BY page_id, part ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS run FROM m) SELECT page_id, CAST(min(x1) AS BIGINT) AS x1, CAST(max(x2) AS BIGINT) AS x2, min(a) AS y1, max(b) AS y2 FROM r GROUP BY page_id, part, run",
+    "ref_merge_boxes": "WITH p AS (SELECT page_id, any_value(panels) AS panels FROM pages WHERE panels IS NOT NULL GROUP BY page_id), u AS (SELECT page_id, unnest(range(len(panels))) AS k, unnest(panels) AS u FROM p), b AS (SELECT page_id, k, CASE WHEN page_id % 2 = 0 THEN k % 3 ELSE 0 END AS part, k % 3 * 100 AS x1, k % 3 * 100 + CASE WHEN page_id % 2 = 0 THEN 90 ELSE 290 END AS x2, CAST(u.top AS BIGINT) AS a, CAST(u.bottom AS BIGINT) AS b FROM u WHERE u.top < u.bottom), m AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY page_id, part ORDER BY a, b, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM b), r AS (SELECT *, sum(opens) OVER (PARTITION BY page_id, part ORDER BY a, b, k ROWS UNBOUNDED PRECEDING) AS run FROM m) SELECT page_id, CAST(min(x1) AS BIGINT) AS x1, CAST(max(x2) AS BIGINT) AS x2, min(a) AS y1, max(b) AS y2 FROM r GROUP BY page_id, part, run",
     "ref_image_header": f"WITH {_ENTRIES}, h AS (SELECT entry_id, hex(content) AS h FROM entries_once WHERE content IS NOT NULL) SELECT entry_id, CASE WHEN starts_with(h, '89504E470D0A1A0A') THEN TRY_CAST('0x' || nullif(substr(h, 33, 8), '') AS BIGINT) END AS width, CASE WHEN starts_with(h, '89504E470D0A1A0A') THEN TRY_CAST('0x' || nullif(substr(h, 41, 8), '') AS BIGINT) END AS height FROM h",
 }
